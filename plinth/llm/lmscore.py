@@ -18,17 +18,17 @@ Counts include the document's own, which is why min_count is 2.
 
 Null and empty texts have no words, log10 0 and a null score. Rows are scored
 one by one, repeated rows and null keys included. Other columns are not
-carried. An empty table gives an empty result.
+carried. An empty table gives an empty result. The input must come in the same
+order to a repeated task, as files do; if it does not, the job fails.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from plinth.llm.words import Vocabulary, ngram_hashes, words_of
@@ -58,19 +58,23 @@ def differences(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Distinct n-grams of one order in a chunk, and for each position which of them ends there (-1: none)."""
+    """Distinct n-grams of one order in a chunk, with their numbers or with, for each position, which of them ends there (-1: none)."""
 
-    def __init__(self, hashes: np.ndarray, place: np.ndarray, n: int):
+    def __init__(self, hashes: np.ndarray, place: np.ndarray, n: int, positions: bool = False):
         there = place >= n - 1
-        self.at = np.full(len(hashes), -1, np.int64)
-        self.distinct, inverse, self.counts = np.unique(ngram_hashes(hashes, n)[there], return_inverse=True, return_counts=True)
-        self.at[there] = inverse
+        ending = ngram_hashes(hashes, n)[there]
+        if positions:
+            self.distinct, inverse = np.unique(ending, return_inverse=True)
+            self.at = np.full(len(hashes), -1, np.int32)
+            self.at[there] = inverse
+        else:
+            self.distinct, self.counts = np.unique(ending, return_counts=True)
 
 
 def places(sizes: np.ndarray) -> np.ndarray:
     """Position of each token in its document."""
     starts = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+    return (np.arange(int(sizes.sum())) - np.repeat(starts, sizes)).astype(np.int32)
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk: int = CHUNK) -> DataFrame:
@@ -79,51 +83,53 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = max(4, min(MOST_BUCKETS, size // BUCKET_BYTES + 1).bit_length())
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
+    def explode(batches: Iterator[pa.RecordBatch], sequences: bool) -> Iterator[pa.RecordBatch]:
+        """The chunks' sequences, or their requests."""
         keys: list[int | None] = []
         parts: list[np.ndarray] = []
         vocabulary = Vocabulary()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, parts, vocabulary, made
-            name = f"{task}-{made}"
-            made += 1
-            tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            known = vocabulary.hashes()
-            place, hashes = places(sizes), known[tokens]
+            nonlocal keys, parts, vocabulary
+            tokens = np.concatenate(parts)
+            sizes, known = np.fromiter(map(len, parts), np.int64, len(parts)), vocabulary.hashes()
+            packed = pack(keys, sizes, known, tokens)
+            # named by content: chunks that only one of the two passes makes fail the look-up
+            name = hashlib.blake2b(packed, digest_size=16).hexdigest()
+            keys, parts, vocabulary = [], [], Vocabulary()
+            if sequences:
+                yield rows_of([(0, name, -1, None, None, packed)])
+                return
+            del packed
             # order 0: the empty n-gram, whose count is the number of all tokens
-            out = [(0, name, 0, squeeze(np.zeros(1, np.uint64)), squeeze(np.array([len(tokens)], np.uint64)), None)]
+            yield rows_of([(0, name, 0, squeeze(np.zeros(1, np.uint64)), squeeze(np.array([len(tokens)], np.uint64)), None)])
+            place, hashes = places(sizes), known[tokens]
             for n in range(1, order + 1):
                 g = Grams(hashes, place, n)
-                borders = np.searchsorted(g.distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                borders = np.searchsorted(g.distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
+                out = []
                 for b, (i, j) in enumerate(zip(borders, [*borders[1:], len(g.distinct)], strict=True)):
                     if j > i:
                         out.append(((n << bits) + b, name, (n << bits) + b, squeeze(differences(g.distinct[i:j])), squeeze(g.counts[i:j].astype(np.uint64)), None))
-                del g
-            out.append((-1 - crc32(name.encode()), name, -1, None, None, pack(keys, sizes, known, tokens)))
-            keys, parts, vocabulary = [], [], Vocabulary()
-            for i in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 256], strict=True), PACKED_TYPES, strict=True)], names=NAMES)
-
-        tokens_held = 0
-        for b in batches:
-            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = vocabulary.number(words_of(t))
-                keys.append(k)
-                parts.append(ids)
-                tokens_held += len(ids) + 1
-                if tokens_held >= chunk:
-                    yield from flush()
-                    tokens_held = 0
+                for i in range(0, len(out), 256):
+                    yield rows_of(out[i : i + 256])
+
+        held = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    keys.append(k)
+                    parts.append(vocabulary.number(words_of(t)))
+                    held += len(parts[-1]) + 1
+                    if held >= chunk:
+                        yield from flush()
+                        held = 0
         if keys:
             yield from flush()
 
     def join(table: pa.Table) -> pa.Table:
-        """A bucket's part of the count table, answered to each chunk; sequences pass."""
-        if table.column("part")[0].as_py() < 0:
-            return table
+        """A bucket's part of the count table, answered to each chunk."""
         asked = [np.cumsum(expand(h.as_py(), np.uint64), dtype=np.uint64) for h in table.column("hashes")]
         counts = np.concatenate([expand(c.as_py(), np.uint64) for c in table.column("counts")])
         _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
@@ -137,20 +143,25 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
 
     def look_up(table: pa.Table) -> pa.Table:
         """The scores of a chunk's documents."""
-        counts: dict[int, list[tuple[int, bytes]]] = {}
-        sequence = b""
+        answers: dict[int, bytes] = {}
+        sequences = []
         for part, c, s in zip(*(table.column(n).to_pylist() for n in ("part", "counts", "sequence")), strict=True):
             if part < 0:
-                sequence = s
+                sequences.append(s)
             else:
-                counts.setdefault(part >> bits, []).append((part, c))
-        count = {n: np.concatenate([expand(c, np.uint64) for _, c in sorted(v)]).astype(np.float64) for n, v in counts.items()}
+                answers[part] = c
+        if not sequences or not answers:
+            raise RuntimeError("the documents came in another order when they were read again")
+        count = {n: np.concatenate([expand(answers[p], np.uint64) for p in sorted(answers) if p >> bits == n]) for n in {p >> bits for p in answers}}
+        return pa.concat_tables(scores(s, count) for s in sequences)  # more than one only where whole chunks repeat
+
+    def scores(sequence: bytes, count: dict[int, np.ndarray]) -> pa.Table:
         keys, sizes, known, tokens = unpack(sequence)
         place, hashes = places(sizes), known[tokens]
         score = np.zeros(len(tokens))
-        context = np.full(len(tokens), count[0][0] if len(tokens) else 1.0)
+        context = np.full(len(tokens), float(count[0][0]))
         for n in range(1, order + 1):
-            g = Grams(hashes, place, n)
+            g = Grams(hashes, place, n, positions=True)
             found = np.zeros(len(tokens))
             there = g.at >= 0
             if there.any():
@@ -167,9 +178,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
         sums = np.bincount(owner, weights=score, minlength=len(sizes))
         return pa.table([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums)], names=["key", "n_words", "log10_prob"])
 
-    exploded = rows.mapInArrow(explode, PACKED)
-    answered = exploded.groupBy("group").applyInArrow(join, PACKED)
-    scored = answered.groupBy("chunk").applyInArrow(look_up, SCORED)
+    asked = rows.mapInArrow(lambda batches: explode(batches, False), PACKED)
+    answered = asked.groupBy("group").applyInArrow(join, PACKED)
+    # sequences are made anew, which costs a second reading and spares them the way through the buckets
+    held = rows.mapInArrow(lambda batches: explode(batches, True), PACKED)
+    scored = answered.unionByName(held).groupBy("chunk").applyInArrow(look_up, SCORED)
     return scored.select(F.col("key").alias(key), "n_words", "log10_prob", F.when(F.col("n_words") > 0, F.col("log10_prob") / F.col("n_words")).alias("score"))
 
 
@@ -177,6 +190,10 @@ NAMES = ["group", "chunk", "part", "hashes", "counts", "sequence"]
 PACKED_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED_TYPES, strict=True)], names=NAMES)
+
+
 def pack(keys: list[int | None], sizes: np.ndarray, known: np.ndarray, tokens: np.ndarray) -> bytes:
     missing = np.array([k is None for k in keys], np.uint8)
     pieces = [squeeze(np.array([k or 0 for k in keys], np.int64)), squeeze(missing), squeeze(sizes), squeeze(known), squeeze(tokens)]
