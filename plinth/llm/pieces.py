@@ -26,6 +26,7 @@ not carried.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import struct
@@ -292,6 +293,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.value
+        gc.disable()  # nothing here makes cycles, and its passes over the remembered stretches would cost half the time
         fallback = np.array([k == BYTE for k in machine.kinds])
         for b in batches:
             made, packed = [], []
