@@ -15,7 +15,7 @@ farthest-first traversal from a sample of SAMPLE vectors; any choice is exact.
 Components become floor(64 x). Vectors that are null or hold a null or
 non-finite component take no part; nor do ids that are null. Only vectors of
 equal length meet. A query does not meet rows with its own id. Ties go to the
-smaller id; repeated rows each rank. Other columns are not carried.
+smaller id; repeated rows are each a query and each rank. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ QUERY_BLOCK = 512
 FIRST = 256
 SCALE = 64
 PACKED = "block string, width int, ids binary, vectors binary, distances binary"
-HITS = "query_id long, vec_id long, score long"
+HITS = "block string, place int, query_id long, vec_id long, score long"
 
 
 def whole(vectors: list) -> np.ndarray | None:
@@ -138,10 +138,10 @@ class Best:
         keep = np.lexsort((ids, -scores))[: self.k]
         return scores[keep], ids[keep]
 
-    def rows(self) -> pa.RecordBatch:
-        queries = np.repeat(self.ids, [len(s) for s, _ in self.top])
+    def rows(self, block: str) -> pa.RecordBatch:
+        places = np.repeat(np.arange(len(self.ids), dtype=np.int32), [len(s) for s, _ in self.top])
         scores, found = (np.concatenate([t[j] for t in self.top]) for j in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(places), pa.string()), pa.array(places), pa.array(self.ids[places]), pa.array(found), pa.array(scores)], names=["block", "place", "query_id", "vec_id", "score"])
 
 
 def unpack(ids: bytes, vectors: bytes, far: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,14 +170,14 @@ def top_k(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "e
                     continue
                 if r["q_block"] not in best:
                     if len(best) >= 32:
-                        yield from (x.rows() for x in best.values())
+                        yield from (x.rows(q) for q, x in best.items())
                         best.clear()
                     best[r["q_block"]] = Best(*unpack(r["q_ids"], r["q_vectors"], r["q_distances"], r["q_width"]), k)
                 best[r["q_block"]].meet(*unpack(r["ids"], r["vectors"], r["distances"], r["width"]))
-        yield from (x.rows() for x in best.values())
+        yield from (x.rows(q) for q, x in best.items())
 
     # blocks meet, not rows: queries x candidates / (QUERY_BLOCK * BLOCK) pairs
     pairs = left.repartition(12).crossJoin(held.repartition(12))
     hits = pairs.mapInArrow(run, HITS)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
