@@ -35,26 +35,26 @@ class Spelling:
         self.size = len(words)
         self.rows = np.fromiter((xxhash.xxh32_intdigest(w) % WORD_ROWS for w in words), np.int64, len(words))
         codes = np.frombuffer(b"\x01" + b"\x01".join(words) + b"\x01", np.uint8)
-        marks = np.cumsum(codes == END)
-        wide = codes.astype(np.uint64)
+        marks = np.cumsum(codes == END, dtype=np.int32)
+        wide = codes.astype(np.uint32)
         owners, grams = [], []
         for n in NGRAMS:
             last = len(codes) - n + 1
             if last <= 0:
                 continue
             inside = marks[n - 2 : n - 2 + last] == marks[:last]
-            h = np.full(last, n, np.uint64)
+            h = np.full(last, n, np.uint32)
             for i in range(n):
-                h = (h ^ wide[i : i + last]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
+                h = (h ^ wide[i : i + last]) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
             at = np.flatnonzero(inside)
             owners.append(marks[at] - 1)
-            grams.append((h[at] % np.uint64(NGRAM_ROWS)).astype(np.int32))
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+            grams.append((h[at] % np.uint32(NGRAM_ROWS)).astype(np.int32))
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
         order = np.argsort(owner, kind="stable")
-        self.owner, self.grams = owner[order], (np.concatenate(grams) if grams else np.zeros(0, np.int32))[order]
-        self.count = np.maximum(np.bincount(self.owner, minlength=self.size), 1).astype(np.float32)
-        self.starts = np.searchsorted(self.owner, np.arange(self.size + 1))
+        self.grams = (np.concatenate(grams) if grams else np.zeros(0, np.int32))[order]
+        self.count = np.maximum(np.bincount(owner, minlength=self.size), 1).astype(np.float32)
+        self.starts = np.searchsorted(owner[order], np.arange(self.size + 1))
 
     def part(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n-gram rows of some words, and which of them each belongs to."""

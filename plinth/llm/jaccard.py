@@ -50,6 +50,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plinth.llm.batches import slices
 from plinth.llm.components import components
 from plinth.llm.scratch import Scratch
 from plinth.llm.words import Vocabulary, mix, shingle_hashes, words_of
@@ -87,7 +88,7 @@ class Threshold:
 
 def text_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Each batch (key, text) with the shingle set of every row."""
-    for b in batches:
+    for b in slices(batches, 1000):
         vocabulary = Vocabulary()
         numbered = [vocabulary.number(words_of(t)) for t in b.column("text").to_pylist()]
         known = vocabulary.hashes()

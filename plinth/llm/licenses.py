@@ -21,6 +21,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from plinth.llm.batches import slices
+
 # Phrase and label
 BASE = {
     "gnu general public license": "gpl",
@@ -197,7 +199,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(base, more, accepted)
-        for b in batches:
+        for b in slices(batches):
             found = list(zip(*(scanner.scan(t) for t in b.column("text").to_pylist()), strict=True)) if b.num_rows else [[]] * 9
             spans = pa.array([[{"start": s, "stop": e, "label": n} for s, e, n in x] for x in found[7]], SPANS)
             expressions = pa.array([[{"text": e.text, "identifiers": list(e.identifiers), "exceptions": list(e.exceptions), "accepted": e.accepted} for e in x] for x in found[8]], EXPRESSIONS)

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from plinth.llm.batches import slices
 from plinth.llm.words import Vocabulary, ngram_hashes, words_of
 
 CHUNK = 4_000_000
@@ -115,16 +116,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
                     yield rows_of(out[i : i + 256])
 
         held = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    keys.append(k)
-                    parts.append(vocabulary.number(words_of(t)))
-                    held += len(parts[-1]) + 1
-                    if held >= chunk:
-                        yield from flush()
-                        held = 0
+        for b in slices(batches):
+            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                keys.append(k)
+                parts.append(vocabulary.number(words_of(t)))
+                held += len(parts[-1]) + 1
+                if held >= chunk:
+                    yield from flush()
+                    held = 0
         if keys:
             yield from flush()
 

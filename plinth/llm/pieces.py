@@ -17,7 +17,8 @@ of each prefix, as all other arcs into the position weigh infinity.
 
 No piece holds a space mark after another character, so a normalised text falls
 into independent stretches (marks, then other characters); each distinct
-stretch is composed once per worker and remembered up to MEMORY entries.
+stretch is composed once and remembered by its worker: two generations of
+MEMORY stretches, of which those in use pass to the younger.
 
 Null texts encode to null ids; empty texts to none. Decoding inverts exactly
 whatever the normaliser keeps. Rows are handled one by one; other columns are
@@ -38,13 +39,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from plinth.llm.batches import slices
+
 # Fixed values of the model format: field numbers and piece kinds
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 MARK = "▁"
-MEMORY = 1_000_000
+MEMORY = 150_000
 INFINITY = math.inf
 
 
@@ -134,11 +137,12 @@ class Transducer:
         self._made: dict[str, tuple[str, str] | None] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         #: Pieces that merges can make. In a BPE model only these are ever emitted.
         self.reached = {p for p in self.arcs if len(p) == 1 or self.halves(p)} if self.bpe else set(self.arcs)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_fits": {}, "_known": {}}
+        return self.__dict__ | {"_fits": {}, "_known": {}, "_older": {}}
 
     # -- compatibility of neighbours in a BPE model
 
@@ -173,7 +177,7 @@ class Transducer:
         """Whether BPE leaves these two pieces apart, as they are, when one follows the other."""
         found = self._fits.get((left, right))
         if found is None:
-            if len(self._fits) > 2 * MEMORY:
+            if len(self._fits) > 3 * MEMORY:
                 self._fits.clear()
             found = self._fits[left, right] = self.apart(left, right)
         return found
@@ -199,13 +203,17 @@ class Transducer:
 
     # -- composition and shortest path
 
-    def path(self, text: str) -> list[int]:
-        """The least-weight path through input o lexicon o byte fallback, as piece ids."""
+    def path(self, text: str, into: list[str] | None = None) -> list[int]:
+        """The least-weight path through input o lexicon o byte fallback, as piece ids.
+
+        ``into`` has, for a BPE model, the last pieces of prefixes that are
+        already composed, and gets those of the others.
+        """
         n, arcs, longest = len(text), self.arcs, self.longest
-        into: list[str] = [""]
+        into = [""] if into is None else into
         if self.bpe:
             known, reached = self._fits.get, self.reached
-            for end in range(1, n + 1):
+            for end in range(len(into), n + 1):
                 for start in range(end - longest if end > longest else 0, end):
                     piece = text[start:end]
                     if piece in reached or start == end - 1:
@@ -247,20 +255,40 @@ class Transducer:
     STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def pack(self, stretch: str) -> bytes:
-        """The ids of one stretch as 32-bit integers, composed at first sight."""
-        known = self._known
-        if len(known) >= MEMORY:
-            known.clear()
-        ids = self.path(stretch)
-        found = known[stretch] = struct.pack(f"<{len(ids)}i", *ids)
+        """The ids of one stretch as 32-bit integers, composed unless the older generation has them."""
+        if len(self._known) >= MEMORY:
+            self._older = dict(self._known)
+            self._known.clear()
+        found = self._older.get(stretch)
+        if found is None:
+            ids = self.path(stretch)
+            found = struct.pack(f"<{len(ids)}i", *ids)
+        self._known[stretch] = found
         return found
 
-    def encode_packed(self, text: str) -> bytes:
+    def compose(self, stretches: list[str]) -> None:
+        """Composes those not remembered, in sorted order: what neighbours begin with in common is composed once."""
+        known, older = self._known, self._older
+        before, into = "", [""]
+        for s in sorted({s for s in stretches if s not in known and s not in older}):
+            if len(known) >= MEMORY:
+                self._older = dict(known)
+                known.clear()
+            same, most = 0, min(len(before), len(s))
+            while same < most and before[same] == s[same]:
+                same += 1
+            del into[same + 1 :]
+            ids = self.path(s, into if self.bpe else None)
+            known[s] = struct.pack(f"<{len(ids)}i", *ids)
+            before = s
+
+    def stretches(self, text: str) -> list[str]:
         whole = self.normalise(text)
-        if not whole:
-            return b""
+        return self.STRETCH.findall(whole) if self.split else [whole] if whole else []
+
+    def encode_packed(self, text: str) -> bytes:
         get, pack = self._known.get, self.pack
-        return b"".join([get(s) or pack(s) for s in (self.STRETCH.findall(whole) if self.split else [whole])])
+        return b"".join([get(s) or pack(s) for s in self.stretches(text)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<i4").tolist()
@@ -293,21 +321,31 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.value
-        gc.disable()  # nothing here makes cycles, and its passes over the remembered stretches would cost half the time
+        gc.disable()  # nothing here makes cycles, and its passes over the remembered stretches would cost much
+        try:
+            for b in slices(batches):
+                yield one(machine, b)
+        finally:
+            gc.enable()
+
+    def one(machine: Transducer, b: pa.RecordBatch) -> pa.RecordBatch:
         fallback = np.array([k == BYTE for k in machine.kinds])
-        for b in batches:
-            made, packed = [], []
-            for t in b.column("text").to_pylist():
-                data = b"" if t is None else machine.encode_packed(t)
-                ids = np.frombuffer(data, "<i4")
-                packed.append(data)
-                made.append((len(ids), int(fallback[ids].sum()), zlib.crc32(data), None if t is None or not verify else machine.decode(ids.tolist()) == t, t is None))
-            columns = [pa.array(c, k[2]) for c, k in zip(zip(*made, strict=True) if made else [[]] * 4, kinds[:4], strict=False)]
-            if keep_ids:
-                ends = pa.array(np.cumsum([0, *(m[0] for m in made)]), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                columns.append(pc.if_else(pa.array([m[4] for m in made], pa.bool_()), pa.scalar(None, lists.type), lists))
-            yield pa.RecordBatch.from_arrays([b.column("key"), *columns], names=schema.names)
+        texts = b.column("text").to_pylist()
+        found = [None if t is None else machine.stretches(t) for t in texts]
+        machine.compose([s for f in found if f for s in f])
+        get, pack = machine._known.get, machine.pack
+        made, packed = [], []
+        for t, f in zip(texts, found, strict=True):
+            data = b"".join([get(s) or pack(s) for s in f]) if f else b""
+            ids = np.frombuffer(data, "<i4")
+            packed.append(data)
+            made.append((len(ids), int(fallback[ids].sum()), zlib.crc32(data), None if t is None or not verify else machine.decode(ids.tolist()) == t, t is None))
+        columns = [pa.array(c, k[2]) for c, k in zip(zip(*made, strict=True) if made else [[]] * 4, kinds[:4], strict=False)]
+        if keep_ids:
+            ends = pa.array(np.cumsum([0, *(m[0] for m in made)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            columns.append(pc.if_else(pa.array([m[4] for m in made], pa.bool_()), pa.scalar(None, lists.type), lists))
+        return pa.RecordBatch.from_arrays([b.column("key"), *columns], names=schema.names)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
@@ -320,7 +358,7 @@ def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.value
-        for b in batches:
+        for b in slices(batches):
             texts = [None if x is None else machine.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], names=schema.names)
 
