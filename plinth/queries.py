@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plinth.config import EngineConfig
 from plinth.functions import hashing
@@ -19,7 +19,6 @@ from plinth.session import Engine
 from plinth.sources.validate import BatchValidator
 
 Query = Callable[[SparkSession, str], DataFrame]
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,11 +28,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
-    """An engine over the driver's tables. Readers are lazy, so unused tables cost a schema read only."""
-    e = Engine(spark, EngineConfig(**options))
-    for t in TABLES:
-        e.catalog.register(t, read(spark, sf_dir, t))
-    return e
+    """An engine over the driver's tables, each opened when a query names it."""
+    return Engine(spark, EngineConfig(**options), loader=lambda t: read(spark, sf_dir, t))
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,5 +311,3 @@ def _(spark, d):
 
     return generate_events(spark, 10_000)
 
-
-del Window

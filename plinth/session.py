@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -56,9 +57,11 @@ class Catalog:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: EngineConfig | None = None, warehouse: str | None = None):
+    def __init__(self, spark: SparkSession, config: EngineConfig | None = None, warehouse: str | None = None, loader: Callable[[str], DataFrame] | None = None):
+        """``loader`` opens tables that are not registered when a query first names them."""
         from plinth.plans.metrics import Metrics
 
+        self.loader = loader
         self.spark, self.config, self.warehouse = spark, config or EngineConfig(), warehouse
         self.config.apply(spark)
         self.catalog, self.metrics, self.queries_executed = Catalog(), Metrics(), 0
@@ -69,7 +72,9 @@ class Engine:
         return df
 
     def table(self, name: str) -> DataFrame:
-        """A registered table, else one saved in the warehouse folder."""
+        """A registered table, else one of the loader's or one saved in the warehouse folder."""
+        if not self.catalog.has(name) and self.loader:
+            self.catalog.register(name, self.loader(name))
         if not self.catalog.has(name) and self.warehouse:
             try:
                 self.register(name, self.spark.read.parquet(f"{self.warehouse}/{name}"))
