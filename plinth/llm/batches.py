@@ -1,8 +1,14 @@
-"""Smaller Arrow batches: Spark's hold 10,000 rows, which for long texts is more than a worker should expand at once."""
+"""Arrow batches in Python workers.
+
+Spark's batches hold 10,000 rows, which for long texts is more than a worker should expand at once. Workers are used again
+and wait idle beside tasks that run no Python, so they return what a task took to the system when it ends.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
@@ -11,3 +17,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def give_back() -> None:
+    """Free memory that the allocators hold goes back to the system. Other C libraries than glibc have no trim and need none."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with memory given back at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
