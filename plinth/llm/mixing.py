@@ -11,30 +11,35 @@ bounded by the number of patterns and not of documents. The documents of the
 last, partial pass over a pattern are cut off at one point of their seeded
 order, found through a histogram of ``BINS`` bins and an exact sum over the one
 bin in which the cut lies. Whole documents are taken: those up to the cut, and
-then, FILL times, the largest one beyond it that fits into the words still
-missing, so the sum falls short of the flow by less than a small document.
+then, from the largest size to the smallest, as many beyond it as fit into the
+words still missing. What is left is less than any document not taken, of those
+with words. The sizes beyond the cut are counted, one row per size, and what is
+taken of them is a few spans of whole sizes and a few sizes taken in part, as
+each shortfall halves the words missing at least.
 
 Null texts have size 0 and are taken 0 words. A null source is a source of its
 own, the last. Repeated rows count each; rows equal in key and text share one
-place in the order. An empty table gives an empty result. Other columns are not
+place in the order, and as many of them are taken as fit. An empty table gives an empty result. Other columns are not
 carried by ``mix``; ``copies`` keeps them all.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plinth.llm.scratch import Scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BINS = 1 << 14
-FILL = 3
 SEED = 17
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_COPIES = 1.5, 2
+#: Of the sizes beyond a cut: all documents from lo to hi (n is null), or n of those of one size.
+SPANS = "_p array<string>, spans array<struct<lo bigint, hi bigint, n bigint>>"
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> dict[str | None, float]:
@@ -148,26 +153,69 @@ def plan(sized: DataFrame, scratch: Scratch, weights: Sequence[float] = WEIGHTS,
     cut = scratch.keep(cut, "cut")
     inside = sized.join(F.broadcast(cut), (F.col("_pattern") == F.col("_p")) & (bin_of == F.col("_cut_bin")))
     order = Window.partitionBy("_p").orderBy("_place")
-    sums = inside.withColumn("_room", F.col("_room") - F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_size") > F.col("_room"))
+    places = inside.groupBy("_p", "_room", "_place").agg(F.sum("_size").alias("_size"))
+    sums = places.withColumn("_room", F.col("_room") - F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_size") > F.col("_room"))
     stops = sums.groupBy("_p").agg(F.min(F.struct("_place", "_room")).alias("_at"))
-    stops = cut.drop("_room").join(F.broadcast(stops), "_p", "left").select("_p", "_cut_bin", F.col("_at._place").alias("_stop"), F.coalesce("_at._room", F.lit(0)).alias("_room"), F.array().cast("array<bigint>").alias("_extra"))
-    stops = scratch.keep(stops, "stops0")
-    for k in range(FILL):  # documents beyond the cut that fit into what it left
-        beyond = (bin_of > F.col("_cut_bin")) | (bin_of == F.col("_cut_bin")) & (F.col("_place") >= F.col("_stop"))
-        fits = sized.where("_size > 0").join(F.broadcast(stops), F.col("_pattern") == F.col("_p")).where(beyond & (F.col("_size") <= F.col("_room")) & ~F.array_contains("_extra", F.col("_place")))
-        found = fits.groupBy("_p").agg(F.max(F.struct("_size", "_place")).alias("_best"))
-        more = stops.join(F.broadcast(found), "_p", "left")
-        taken = F.when(F.col("_best").isNotNull(), F.array("_best._place")).otherwise(F.array().cast("array<bigint>"))
-        stops = scratch.keep(more.select("_p", "_cut_bin", "_stop", (F.col("_room") - F.coalesce("_best._size", F.lit(0))).alias("_room"), F.concat("_extra", taken).alias("_extra")), f"stops{k + 1}")
-    return scratch.keep(per.join(F.broadcast(stops), "_p", "left"), "plan")
+    stops = cut.drop("_room").join(F.broadcast(stops), "_p", "left").select("_p", "_cut_bin", F.col("_at._place").alias("_stop"), F.coalesce("_at._room", F.lit(0)).alias("_room"))
+    stops = scratch.keep(stops, "stops")
+    # documents beyond the cut that fit into what it left
+    beyond = (bin_of > F.col("_cut_bin")) | (bin_of == F.col("_cut_bin")) & (F.col("_place") >= F.col("_stop"))
+    fits = sized.where("_size > 0").join(F.broadcast(stops), F.col("_pattern") == F.col("_p")).where(beyond & (F.col("_size") <= F.col("_room"))).select("_p", "_room", "_size", "_place")
+    counts = fits.groupBy("_p", "_room", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    spans = scratch.keep(counts.groupBy("_p", "_room").agg(F.collect_list(F.struct("_size", "_n")).alias("_sizes")).mapInArrow(_spans, SPANS), "spans")
+    each = spans.select("_p", F.explode("spans").alias("_s"))
+    part = each.where("_s.n IS NOT NULL").select("_p", F.col("_s.lo").alias("_size"), F.col("_s.n").alias("_need"))
+    # of a size taken in part the documents with the largest places, again by bins
+    some = fits.join(F.broadcast(part), ["_p", "_size"]).withColumn("_high", F.shiftright("_place", 65 - BINS.bit_length()))
+    ends = scratch.keep(_ends(some, "_high"), "ends")
+    edges = scratch.keep(_ends(some.drop("_need").join(F.broadcast(ends.drop("_n")), ["_p", "_size", "_high"]), "_place"), "edges")
+    whole = each.where("_s.n IS NULL").groupBy("_p").agg(F.collect_list(F.struct("_s.lo", "_s.hi")).alias("_whole"))
+    edges = edges.groupBy("_p").agg(F.collect_list(F.struct(F.col("_size").alias("size"), F.col("_place").alias("place"), F.col("_need").alias("n"), (F.col("_need") == F.col("_n")).alias("all"))).alias("_edges"))
+    return scratch.keep(per.join(F.broadcast(stops), "_p", "left").join(F.broadcast(whole), "_p", "left").join(F.broadcast(edges), "_p", "left"), "plan")
+
+
+def _ends(rows: DataFrame, unit: str) -> DataFrame:
+    """In which unit the row number ``_need`` of a size lies, from the largest unit down, and its number there."""
+    n = rows.groupBy("_p", "_size", "_need", unit).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_before", F.sum("_n").over(Window.partitionBy("_p", "_size").orderBy(F.desc(unit))) - F.col("_n"))
+    return n.where((F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_n") >= F.col("_need"))).select("_p", "_size", unit, (F.col("_need") - F.col("_before")).alias("_need"), "_n")
+
+
+def fill(room: int, sizes: dict[int, int]) -> list[tuple[int, int, int | None]]:
+    """Spans (lo, hi, None) of sizes taken whole, and (size, size, n) where n are taken. sizes: documents of each size. From the largest size down, as many as fit."""
+    out: list[tuple[int, int, int | None]] = []
+    top = None
+    for size in sorted(sizes, reverse=True):
+        n = min(sizes[size], room // size)
+        room -= n * size
+        if n == sizes[size]:
+            top, out = (size, [*out, (size, size, None)]) if top is None else (top, [*out[:-1], (size, top, None)])
+            continue
+        top = None
+        if n:
+            out.append((size, size, n))
+    return out
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            found = fill(r["_room"], {x["_size"]: x["_n"] for x in r["_sizes"]})
+            yield pa.RecordBatch.from_pylist([{"_p": r["_p"], "spans": [dict(zip(("lo", "hi", "n"), x, strict=True)) for x in found]}], schema=pa.schema([("_p", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(c, pa.int64()) for c in ("lo", "hi", "n")])))]))
 
 
 def _copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """Adds source_size, target and the number of whole copies."""
     bin_of = F.pmod("_place", F.lit(BINS)).cast("int")
-    inside = (F.col("rest") > 0) & ((bin_of < F.col("_cut_bin")) | (bin_of == F.col("_cut_bin")) & (F.col("_stop").isNull() | (F.col("_place") < F.col("_stop"))) | F.array_contains("_extra", F.col("_place")))
     # one row per pattern: the driver held all of them for the flow
-    return rows.join(F.broadcast(planned), F.col("_pattern").eqNullSafe(F.col("_p")), "left").withColumn("_copies", F.col("passes") + F.coalesce(inside, F.lit(False)).cast("bigint"))
+    rows = rows.join(F.broadcast(planned), F.col("_pattern").eqNullSafe(F.col("_p")), "left").withColumn("_nth", F.lit(1))
+    if planned.where(F.exists("_edges", lambda e: ~e["all"])).limit(1).count():  # rows that share a place and don't all fit
+        tied = F.coalesce(F.exists("_edges", lambda e: ~e["all"] & (e["size"] == F.col("_size")) & (e["place"] == F.col("_place"))), F.lit(False))
+        rows = rows.where(~tied).unionByName(rows.where(tied).withColumn("_nth", F.row_number().over(Window.partitionBy("_pattern", "_place").orderBy("_size"))))
+    whole = F.exists("_whole", lambda s: F.col("_size").between(s["lo"], s["hi"]))
+    edge = F.exists("_edges", lambda e: (e["size"] == F.col("_size")) & ((F.col("_place") > e["place"]) | (F.col("_place") == e["place"]) & (F.col("_nth") <= e["n"])))
+    inside = (F.col("rest") > 0) & ((bin_of < F.col("_cut_bin")) | (bin_of == F.col("_cut_bin")) & (F.col("_stop").isNull() | (F.col("_place") < F.col("_stop"))) | whole | edge)
+    return rows.withColumn("_copies", F.col("passes") + F.coalesce(inside, F.lit(False)).cast("bigint"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:

@@ -201,6 +201,35 @@ def test_mixture(spark):
     assert mixing.copies(df).count() == sum(r["copies"] for r in got.values())
 
 
+def test_mixture_fills_what_a_long_document_leaves(spark):
+    """One source whose order often stops at a very long document, one of equal rows, and one where no document fits."""
+    sizes = {"a": 40_000, "b": 90, "c": 300}
+    rows = [(i, "w " * 100, "a") for i in range(200)] + [(200, "w " * 20_000, "a")] + [(7, "w w w", "b")] * 30 + [(300 + i, "w " * 100, "c") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).cache()
+    for seed in range(3):
+        got = mixing.mix(df, weights=(1,), share=0.5, seed=seed).collect()
+        given = mixing.route({(s,): n for s, n in sizes.items()}, mixing.targets(sizes, (1,), 0.5))
+        for s, size in sizes.items():
+            mine = [r for r in got if r["source_size"] == size]
+            missing = given[(s,)] - sum(r["taken"] for r in mine)
+            least = min(r["copies"] for r in mine)
+            assert 0 <= missing < min(r["size"] for r in mine if r["copies"] == least), (seed, s, missing)
+        assert mixing.copies(df, weights=(1,), share=0.5, seed=seed).count() == sum(r["copies"] for r in got)
+
+
+def test_fill_takes_sizes_from_the_largest():
+    assert mixing.fill(10, {4: 1, 3: 5, 1: 1}) == [(4, 4, None), (3, 3, 2)]
+    assert mixing.fill(100, {9: 2, 8: 1, 7: 20, 4: 1, 3: 1}) == [(8, 9, None), (7, 7, 10), (4, 4, None)]
+    rng = random.Random(5)
+    for _ in range(300):
+        sizes = {rng.randint(1, 60): rng.randint(1, 9) for _ in range(rng.randint(1, 15))}
+        room = rng.randint(1, 300)
+        spans = mixing.fill(room, sizes)
+        taken = {s: next((n or sizes[s] for lo, hi, n in spans if lo <= s <= hi), 0) for s in sizes}
+        left = room - sum(s * n for s, n in taken.items())
+        assert left >= 0 and all(s > left for s in sizes if taken[s] < sizes[s])
+
+
 def test_network_gradients():
     net = Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
