@@ -4,7 +4,8 @@ Texts are lower-cased in A-Z only; words are runs of ASCII letters and digits
 and of all non-ASCII characters. A phrase counts wherever its words stand
 consecutively. An ``SPDX-License-Identifier:`` tag is followed by an expression
 of identifiers with AND, OR, WITH and parentheses, which is parsed to postfix
-form and evaluated against a set of accepted licenses.
+form and evaluated against a set of accepted licenses. It ends with its line or
+where the next tag begins.
 
 Null texts count as empty: no words, no labels, score 0. Rows are judged one
 by one, so ties, repeats and other columns play no part; only ``key`` and the
@@ -59,7 +60,7 @@ ACCEPTED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc"
 
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+(?::[A-Za-z0-9.+-]+)?")
-TAG_LINE = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+TAG_LINE = re.compile(r"spdx-license-identifier\s*:[ \t]*((?:(?!spdx-license-identifier\s*:)[^\r\n])*)", re.IGNORECASE | re.ASCII)
 
 #: Bytes that separate words become spaces, A-Z become a-z, all else stays.
 FOLD = bytes((c | 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))

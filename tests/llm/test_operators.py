@@ -84,6 +84,14 @@ def test_license_expressions(text, want):
     assert licenses.evaluate(text).accepted is want
 
 
+def test_license_tags_on_one_line(spark):
+    texts = ["SPDX-License-Identifier: MIT */ code /* SPDX-License-Identifier: Apache-2.0 */", "spdx-license-identifier:spdx-license-identifier: isc\nSPDX-License-Identifier: GPL-2.0-only OR MIT SPDX-License-Identifier : Zlib", "x; " * 20_000 + "SPDX-License-Identifier: MIT; " * 500]
+    got = [r for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert [[tuple(e["identifiers"]) for e in r["expressions"]] for r in got] == [[("mit",), ("apache-2.0",)], [(), ("isc",), ("gpl-2.0-only", "mit"), ("zlib",)], [("mit",)] * 500]
+    assert [r["labels"] for r in got] == ["apache-2.0,mit", "gpl-2.0-only,isc,mit,zlib", "mit"]
+    assert [r["score"] for r in got[:2]] == [1 - 0.5**4, 1 - 0.5**6]
+
+
 def test_url_verdicts(spark):
     cases = {None: ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "http://A.Example.ORG/es/x?y": ("a.example.org", "/es/x", "example.org/es/", "block"), "x://example.org/en/123#f": ("example.org", "/en/123", "example.org/en/1", "block"), "http://notexample.org/es/": ("notexample.org", "/es/", "org/", "allow"), "http://b.com/de/": ("b.com", "/de/", "com/de/", "block"), "http://b.com?/de/": ("b.com", "", None, "allow"), "http://b.net/casino/1": ("b.net", "/casino/1", None, "block"), "http://b.net/a\nb": ("b.net", "/a\nb", None, "allow")}
     pages = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(cases)], "page_id long, url string, host string, rule string, key string")
