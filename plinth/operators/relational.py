@@ -27,14 +27,15 @@ def append(df: DataFrame, new: DataFrame) -> DataFrame:
     return df.unionByName(new)
 
 
-def with_position(df: DataFrame, key: str, name: str = "row_id") -> DataFrame:
-    """Positions 0..n-1 in key order, without a global window.
+def with_position(df: DataFrame, key: str | list[Column], name: str = "row_id") -> DataFrame:
+    """Positions 0..n-1 in the order of a column or of sort keys, without a global window.
 
     Range partitions are numbered locally and shifted by the row counts of the
     partitions before them: one number per partition goes to the driver.
     """
-    ranged = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first())))
+    keys = [F.col(key).asc_nulls_first()] if isinstance(key, str) else key
+    ranged = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    ranged = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_local") - 1).cast("bigint")).drop("_part", "_local", "_start")

@@ -22,7 +22,6 @@ def top_k(df: DataFrame, column: str, k: int, tie_breaker: str, reverse: bool =
     return df.orderBy(c.desc_nulls_last() if reverse else c.asc_nulls_first(), F.col(tie_breaker)).limit(k)
 
 
-def argsort(df: DataFrame, column: str, tie_breaker: str, name: str = "rank") -> DataFrame:
-    """Rank of each row, from 1, in ascending order with ties by ``tie_breaker``."""
-    packed = df.withColumn("_key", F.struct(F.col(column), F.col(tie_breaker)))
-    return with_position(packed, "_key", name).withColumn(name, F.col(name) + 1).drop("_key")
+def argsort(df: DataFrame, column: str, tie_breaker: str, name: str = "rank", descending: bool = False) -> DataFrame:
+    """Rank of each row, from 1, with NULLs first and ties by ``tie_breaker`` in ascending order."""
+    return with_position(df, [key(column, descending), key(tie_breaker)], name).withColumn(name, F.col(name) + 1)

@@ -129,6 +129,13 @@ def _(spark, d):
     return sorting.argsort(sparse(spark, d), "v", "event_id").select("event_id", "rank")
 
 
+@_frame("sort_nulls_first_ranks", f"SELECT event_id, v, ROW_NUMBER() OVER (ORDER BY v ASC NULLS FIRST, event_id) AS rank_asc, ROW_NUMBER() OVER (ORDER BY v DESC NULLS FIRST, event_id) AS rank_desc FROM {NE} ne")
+def _(spark, d):
+    """Both directions over the whole table, where sort_nulls_first and sort_nulls_first_desc end at 2000 rows."""
+    up = sorting.argsort(sparse(spark, d).select("event_id", "v"), "v", "event_id", "rank_asc")
+    return sorting.argsort(up, "v", "event_id", "rank_desc", descending=True).select("event_id", "v", "rank_asc", "rank_desc")
+
+
 @_frame("window_row_number", "SELECT event_id, CAST(ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS rn FROM events")
 def _(spark, d):
     return windows.with_row_number(read(spark, d, "events"), ["event_type"], ["event_id"], "rn").select("event_id", "rn")

@@ -11,6 +11,7 @@ from plinth.errors import IngestError, ParseError, PlanError, SchemaError
 from plinth.index import inverted, postings, zonemap
 from plinth.index.bloom import BloomFilter
 from plinth.operators import joins
+from plinth.queries import QUERIES, engine as query_engine, sparse
 from plinth.result import format_table
 from plinth.sources import generate, infer, journal
 from plinth.sources.csv import parse_value, read_csv, write_csv
@@ -150,3 +151,17 @@ def test_catalog_and_format(engine, spark):
     assert engine.catalog.find_table_with_column("amount") == "events"
     text = format_table(engine.sql("SELECT region, id FROM events ORDER BY id"), 2)
     assert text.splitlines()[0].startswith("region | id") and text.endswith("... (2 more rows)")
+
+
+@pytest.mark.parametrize("direction", ["ASC", "DESC"])
+def test_order_over_the_whole_table(spark, sf_dir, direction):
+    """The dialect's order and the ranks of sort_nulls_first_ranks, NULLs and values alike."""
+    ranks = QUERIES["sort_nulls_first_ranks"](spark, sf_dir).collect()
+    ne = sparse(spark, sf_dir).select("event_id", "v").collect()
+    values = sorted((r for r in ne if r["v"] is not None), key=lambda r: (r["v"] if direction == "ASC" else -r["v"], r["event_id"]))
+    want = sorted(r["event_id"] for r in ne if r["v"] is None) + [r["event_id"] for r in values]
+    assert 0 < len(values) < len(want)
+    assert [r["event_id"] for r in sorted(ranks, key=lambda r: r[f"rank_{direction.lower()}"])] == want
+    e = query_engine(spark, sf_dir)
+    e.catalog.register("ne", sparse(spark, sf_dir))
+    assert [r["event_id"] for r in e.sql(f"SELECT event_id, v FROM ne ORDER BY v {direction}, event_id").collect()] == want
