@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plinth.llm import jaccard, mixing, naming, pieces, toxicity
-from plinth.llm.keys import without
+from plinth.llm.keys import doubtful, without
 from plinth.llm.queries import PIECE_MODEL, read
 from plinth.llm.scratch import Scratch
+from plinth.operators.relational import with_position
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,19 +16,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean_documents(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def digested(docs: DataFrame) -> DataFrame:
+    """With the digest that tells rows of one id apart, as exact_duplicates gives it."""
+    return docs.withColumn("_digest", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the document with the largest id. A key that repeats keeps one row of each of its texts."""
-    judged = Scratch(spark, "pipeline").keep(naming.exact_duplicates(docs).select("doc_id", "kept"), "judged")
-    repeated = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    out = without(docs, repeated.where("not kept").select("doc_id"), "doc_id")
-    return out.dropDuplicates(["doc_id", "text"]) if repeated.where("n > 1").limit(1).count() else out
+    """Of identical texts the document with the largest id, and one without an id only if none has one."""
+    judged = Scratch(spark, "pipeline").keep(naming.exact_duplicates(docs).select("doc_id", "text_sha256", "kept"), "judged")
+    if not doubtful(judged, "doc_id"):
+        return without(docs, judged.where("not kept").select("doc_id"), "doc_id")
+    texts = judged.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"))
+    out = without(digested(docs), texts.where("not kept").select("doc_id", "text_sha256"), "doc_id", "_digest")
+    return out.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link at a similarity of 0.8 the one with the smallest id."""
-    groups = jaccard.join_groups(docs, shingle=5, num=80, den=100)
-    dropped = Scratch(spark, "pipeline").keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return without(docs, dropped, "doc_id")
+    """Of documents that five-word shingles link at a similarity of 0.8 the one with the smallest id, and one without an id only if none has one. Identical texts are gone before."""
+    scratch = Scratch(spark, "pipeline")
+    if not doubtful(docs, "doc_id"):
+        groups = jaccard.join_groups(docs, shingle=5, num=80, den=100)
+        return without(docs, scratch.keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped"), "doc_id")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_digest").asc()]
+    rows = scratch.keep(with_position(digested(docs), order, "_row"), "numbered")
+    groups = jaccard.join_groups(rows, key="_row", shingle=5, num=80, den=100)
+    dropped = scratch.keep(groups.where("_row <> component_id").select("_row"), "dropped")
+    return without(rows, dropped, "_row").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

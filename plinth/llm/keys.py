@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 MOST_SENT = 2_000_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """docs whose key is not in ``dropped`` (one column). Rows with a null key stay. dropped is counted, so it should be a kept table."""
+def without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
+    """docs whose keys are not in ``dropped`` (its columns in the same order). With one key, rows where it is null stay; several are compared null-safely. dropped is counted, so it should be a kept table."""
     few = dropped.limit(MOST_SENT + 1).count() <= MOST_SENT
-    d = dropped.toDF("_dropped")
-    return docs.join(F.broadcast(d) if few else d, docs[f"`{key}`"] == d["_dropped"], "left_anti")
+    d = dropped.toDF(*(f"_dropped{i}" for i in range(len(keys))))
+    same = [docs[f"`{k}`"] == d[c] if len(keys) == 1 else docs[f"`{k}`"].eqNullSafe(d[c]) for k, c in zip(keys, d.columns, strict=True)]
+    return docs.join(F.broadcast(d) if few else d, same, "left_anti")
+
+
+def doubtful(rows: DataFrame, key: str) -> bool:
+    """Whether a key is null or repeats, so that it does not tell rows apart."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).limit(1).count() > 0

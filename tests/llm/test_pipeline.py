@@ -1,5 +1,8 @@
 """The stages' decisions take effect, each on all that its predecessor kept."""
 
+import hashlib
+import itertools
+
 import corpus_pipeline
 import pytest
 
@@ -33,3 +36,53 @@ def test_decisions(spark, sf_dir, stages):
     taken = {r["doc_id"]: r["copies"] for r in mixing.mix(d).collect()}
     assert ids(e) == sorted(k for k, n in taken.items() for _ in range(n))
     assert ids(f) == ids(e) and f.where("not round_trip").count() == 0
+
+
+def near(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return bool(x and y) and len(x & y) >= 0.8 * len(x | y)
+
+
+def last_of_each(rows):
+    """Of rows (id, text) those that exact dedup keeps: by dicts."""
+    best = {}
+    for k, t in rows:
+        if (t or "") not in best or best[t or ""] is None or k is not None and k > best[t or ""]:
+            best[t or ""] = k
+    return {(k, t) for t, k in best.items()}
+
+
+def first_of_each(rows):
+    """Of rows (id, text) those that near dedup keeps: by all pairs."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    up = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if near(rows[i][1], rows[j][1]):
+            a, b = sorted((up[i], up[j]))
+            up = [a if x == b else x for x in up]
+    return {r for i, r in enumerate(rows) if up[i] == i}
+
+
+def written(start, change=None):
+    w = [f"w{start + i}" for i in range(40)]
+    return " ".join(w if change is None else [*w[:change], f"x{change}", *w[change + 1 :]])
+
+
+PLAIN = [(i, written(100 * (i % 12), None if i % 3 else 39)) for i in range(36)] + [(90, "short text"), (91, "short text"), (92, ""), (93, None), (94, "short text too")]
+#: An id with clean texts, a copy and near copies; near copies under one id; equal texts under ids that repeat; no ids.
+ODD = [(1, written(0)), (1, written(500)), (0, written(0, 39)), (5, written(900)), (5, written(900, 0)), (5, written(900)), (7, "one text"), (6, "one text"), (6, "two texts"), (8, "two texts"), (None, "one text"), (None, written(500, 39)), (None, written(1500)), (None, written(1500, 39)), (None, "alone"), (None, "alone"), (None, ""), (3, None)]
+
+
+@pytest.mark.parametrize("rows", [PLAIN, ODD, PLAIN + ODD], ids=["plain", "odd", "both"])
+def test_dedup_stages_against_brute_force(spark, sf_dir, tmp_path, rows):
+    docs = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/in")
+    kept = corpus_pipeline.drop_copies(spark, spark.read.parquet(f"{tmp_path}/in"), sf_dir)
+    kept.write.parquet(f"{tmp_path}/kept")
+    kept = spark.read.parquet(f"{tmp_path}/kept")
+    want = last_of_each(rows)
+    got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(want) and set(got) == want
+    got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, kept, sf_dir).collect()]
+    want = first_of_each(want)
+    assert len(got) == len(want) and set(got) == want
