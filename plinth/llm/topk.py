@@ -12,8 +12,11 @@ query block it sees, so later blocks are cut against the best so far, and it
 emits k rows a query; a final ranking merges these. Pivots are chosen by
 farthest-first traversal from a sample of SAMPLE vectors; any choice is exact.
 
-Components become floor(64 x). Vectors that are null or hold a null or
-non-finite component take no part; nor do ids that are null. Only vectors of
+Components become floor(64 x). Vectors so large that doubles would round their
+products are packed apart as 64-bit integers, are no pivots and meet all others
+without bounds; a component or score that is no long is an error. Vectors that
+are null or hold a null or non-finite component take no part; nor do ids that
+are null. Only vectors of
 equal length meet. A query does not meet rows with its own id. Ties go to the
 smaller id; repeated rows are each a query and each rank. Other columns are not carried.
 """
@@ -32,20 +35,35 @@ PIVOTS, SAMPLE, BLOCK = 32, 2048, 4096
 QUERY_BLOCK = 512
 FIRST = 256
 SCALE = 64
-PACKED = "block string, width int, ids binary, vectors binary, distances binary"
+#: Squares of distances are exact in doubles while width x component**2 stays under this.
+PLAIN = 2.0**51
+PACKED = "block string, width int, size int, ids binary, vectors binary, distances binary"
 HITS = "block string, place int, query_id long, vec_id long, score long"
 
 
 def whole(vectors: list) -> np.ndarray | None:
     """Vectors of one length as integers."""
-    return np.floor(SCALE * np.array(vectors, np.float64)).astype(np.int64)
+    x = np.floor(SCALE * np.array(vectors, np.float64))
+    if (np.abs(x) >= 2.0**63).any():
+        raise OverflowError("a component times 64 is no long")
+    return x.astype(np.int64)
 
 
 def usable(v) -> bool:
     if v is None or any(x is None for x in v):
         return False
-    x = SCALE * np.array(v, np.float64)
-    return bool(np.isfinite(x).all() and (np.abs(x) < 2.0**31).all())
+    return bool(np.isfinite(np.array(v, np.float64)).all())
+
+
+def large(v) -> bool:
+    return len(v) * (SCALE * float(np.abs(np.array(v, np.float64)).max(initial=0)) + 1) ** 2 >= PLAIN
+
+
+def products(y: np.ndarray, q: np.ndarray) -> np.ndarray:
+    s = y @ q
+    if s.dtype == object and any(abs(n) >= 2**63 for n in s):
+        raise OverflowError("a score is no long")
+    return s.astype(np.int64)
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -75,25 +93,26 @@ def pack(vectors: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
-        held: dict[int, tuple[list[int], list]] = {}
+        held: dict[tuple[int, bool], tuple[list[int], list]] = {}
 
-        def block(ids: list[int], rows: list) -> pa.RecordBatch:
+        def block(ids: list[int], rows: list, kind: type) -> pa.RecordBatch:
             nonlocal made
             made += 1
             x = whole(rows)
-            return pa.RecordBatch.from_pydict({"block": [f"{task}-{made}"], "width": pa.array([x.shape[1]], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "vectors": [x.astype(np.int32).tobytes()], "distances": [distances(x, pivots).tobytes()]})
+            return pa.RecordBatch.from_pydict({"block": [f"{task}-{made}"], "width": pa.array([x.shape[1]], pa.int32()), "size": pa.array([np.dtype(kind).itemsize], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "vectors": [x.astype(kind).tobytes()], "distances": [distances(x, pivots).tobytes()]})
 
         for b in batches:
             for k, v in zip(b.column("key").to_pylist(), b.column("v").to_pylist(), strict=True):
                 if not usable(v):
                     continue
-                ids, rows = held.setdefault(len(v), ([], []))
+                of = len(v), large(v)
+                ids, rows = held.setdefault(of, ([], []))
                 ids.append(k)
                 rows.append(v)
                 if len(ids) == size:
-                    yield block(*held.pop(len(v)))
-        for ids, rows in held.values():
-            yield block(ids, rows)
+                    yield block(*held.pop(of), np.int64 if of[1] else np.int32)
+        for of, (ids, rows) in held.items():
+            yield block(ids, rows, np.int64 if of[1] else np.int32)
 
     return vectors.mapInArrow(run, PACKED)
 
@@ -107,21 +126,25 @@ class Best:
         self.top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
 
     def meet(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
-        gap = np.zeros((len(self.ids), len(ids)))
-        for p in range(far.shape[1]):
-            np.maximum(gap, np.abs(self.far[:, p, None] - far[None, :, p]), out=gap)
-        norms = self.norms[:, None] + (x.astype(np.float64) ** 2).sum(1)
-        bounds = (norms - gap**2) / 2 + 1e-9 * norms + 0.5
+        width, most = x.shape[1], [float(np.abs(a).max(initial=0)) for a in (self.x, x)]
+        if width * max(most) ** 2 < PLAIN:
+            gap = np.zeros((len(self.ids), len(ids)))
+            for p in range(far.shape[1]):
+                np.maximum(gap, np.abs(self.far[:, p, None] - far[None, :, p]), out=gap)
+            norms = self.norms[:, None] + (x.astype(np.float64) ** 2).sum(1)
+            bounds = (norms - gap**2) / 2 + 1e-9 * norms + 0.5
+            kind = np.float64
+        else:
+            bounds = np.full((len(self.ids), len(ids)), np.inf)
+            kind = np.int64 if width * most[0] * most[1] < 2.0**62 else object
         bounds[self.ids[:, None] == ids[None, :]] = -np.inf
-        # exact in doubles while sums stay under 2**53
-        safe = x.shape[1] * float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) < 2.0**53
-        y, q = (x.astype(np.float64), self.x.astype(np.float64)) if safe else (x.astype(np.int64), self.x.astype(np.int64))
+        y, q = x.astype(kind), self.x.astype(kind)
         for i in range(len(self.ids)):
             b = bounds[i]
             scores, found = self.top[i]
             order = np.argpartition(-b, FIRST)[:FIRST] if len(b) > FIRST else np.arange(len(b))
             seen = order[b[order] > -np.inf]
-            scores, found = self.cut(np.concatenate([scores, (y[seen] @ q[i]).astype(np.int64)]), np.concatenate([found, ids[seen]]))
+            scores, found = self.cut(np.concatenate([scores, products(y[seen], q[i])]), np.concatenate([found, ids[seen]]))
             if len(b) > FIRST:
                 least = scores[-1] if len(scores) == self.k else -np.inf
                 b[order] = -np.inf
@@ -131,7 +154,7 @@ class Best:
                     part = rest[at : at + FIRST]
                     if len(scores) == self.k and b[part[0]] < scores[-1]:
                         break
-                    scores, found = self.cut(np.concatenate([scores, (y[part] @ q[i]).astype(np.int64)]), np.concatenate([found, ids[part]]))
+                    scores, found = self.cut(np.concatenate([scores, products(y[part], q[i])]), np.concatenate([found, ids[part]]))
             self.top[i] = scores, found
 
     def cut(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +167,9 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array([block] * len(places), pa.string()), pa.array(places), pa.array(self.ids[places]), pa.array(found), pa.array(scores)], names=["block", "place", "query_id", "vec_id", "score"])
 
 
-def unpack(ids: bytes, vectors: bytes, far: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(ids: bytes, vectors: bytes, far: bytes, width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vectors, np.int32).reshape(len(i), width), np.frombuffer(far, np.float64).reshape(len(i), -1)
+    return i, np.frombuffer(vectors, f"<i{size}").reshape(len(i), width), np.frombuffer(far, np.float64).reshape(len(i), -1)
 
 
 def top_k(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", queries: F.Column | None = None, pivots: int = PIVOTS) -> DataFrame:
@@ -154,7 +177,7 @@ def top_k(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "e
     scratch = Scratch(vectors.sparkSession, "topk")
     rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{vector}`").alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull())
     sample = [r["v"] for r in rows.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()]
-    sample = [v for v in sample if usable(v)]
+    sample = [v for v in sample if usable(v) and not large(v)]
     sample = [v for v in sample if len(v) == len(sample[0])]
     table = choose_pivots(whole(sample), pivots) if sample else np.zeros((0, 0), np.int64)
     chosen = F.col("key") % 20 == 0 if queries is None else queries
@@ -172,8 +195,8 @@ def top_k(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "e
                     if len(best) >= 32:
                         yield from (x.rows(q) for q, x in best.items())
                         best.clear()
-                    best[r["q_block"]] = Best(*unpack(r["q_ids"], r["q_vectors"], r["q_distances"], r["q_width"]), k)
-                best[r["q_block"]].meet(*unpack(r["ids"], r["vectors"], r["distances"], r["width"]))
+                    best[r["q_block"]] = Best(*unpack(r["q_ids"], r["q_vectors"], r["q_distances"], r["q_width"], r["q_size"]), k)
+                best[r["q_block"]].meet(*unpack(r["ids"], r["vectors"], r["distances"], r["width"], r["size"]))
         yield from (x.rows(q) for q, x in best.items())
 
     # blocks meet, not rows: queries x candidates / (QUERY_BLOCK * BLOCK) pairs

@@ -184,6 +184,26 @@ def test_top_k(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(4) * 3).tolist()) for i in range(400)]
+    rows += [(400 + i, (rng.standard_normal(4).clip(-2, 2) * 10.0 ** rng.integers(5, 8)).tolist()) for i in range(60)] + [(500, [33_554_432.0, 0.0, 0.0, -33_554_432.0]), (501, [0.0, 4e7, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = {k: [math.floor(64 * x) for x in v] for k, v in rows}
+    want = []
+    for k in [k for k in whole if k % 20 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(whole[k], w, strict=True)), j) for j, w in whole.items() if j != k)[:20]
+        want += [(k, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("x", [1e9, 1e18])
+def test_top_k_without_a_long_score(spark, x):
+    df = spark.createDataFrame([(20, [x]), (21, [x])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="is no long"):
+        topk.top_k(df).collect()
+
+
 def test_targets_and_flow():
     assert mixing.targets({"a": 100, "b": 100, None: 100}) == pytest.approx({"a": 200.0, "b": 83.333333, None: 166.666667})
     assert mixing.targets({"a": 0}) == {"a": 0.0}
