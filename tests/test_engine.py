@@ -165,3 +165,12 @@ def test_order_over_the_whole_table(spark, sf_dir, direction):
     e = query_engine(spark, sf_dir)
     e.catalog.register("ne", sparse(spark, sf_dir))
     assert [r["event_id"] for r in e.sql(f"SELECT event_id, v FROM ne ORDER BY v {direction}, event_id").collect()] == want
+
+
+def test_types_that_first_appear_late(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    late = F.col("event_id") % 50 == 2
+    events.withColumn("event_type", F.when((F.col("event_id") >= 100) & late, "late").otherwise(F.col("event_type"))).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["null_safe_join"](spark, str(tmp_path))
+    assert got.count() == events.count() and got.where("right_k = 'late'").count() == events.where((F.col("event_id") >= 100) & late).count() > 0
+    assert QUERIES["fnv1a64_rows"](spark, str(tmp_path)).count() == events.count()
