@@ -56,8 +56,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, n_bytes, ids_crc, round_trip: a digest of the ids that ``pieces.encode`` returns."""
-    return pieces.encode(read(spark, sf_dir, "documents"), PIECE_MODEL, keep_ids=False)
+    """doc_id, n_pieces, n_bytes, ids_crc, round_trip, ids."""
+    return pieces.encode(read(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

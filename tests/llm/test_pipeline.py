@@ -6,7 +6,7 @@ import itertools
 import corpus_pipeline
 import pytest
 
-from plinth.llm import jaccard, mixing, naming, toxicity
+from plinth.llm import jaccard, mixing, naming, pieces, queries, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,14 @@ def test_decisions(spark, sf_dir, stages):
     assert ids(f) == ids(e) and f.where("not round_trip").count() == 0
 
 
+def test_op10_returns_the_ids(spark, sf_dir):
+    encoded = queries.op10_sentencepiece(spark, sf_dir)
+    assert encoded.where("ids IS NULL OR size(ids) <> n_pieces").count() == 0
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(encoded, queries.PIECE_MODEL).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert back.keys() == texts.keys() and all(back[r["doc_id"]] == texts[r["doc_id"]] for r in encoded.where("round_trip").collect())
+
+
 def near(a, b):
     x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
     return bool(x and y) and len(x & y) >= 0.8 * len(x | y)
