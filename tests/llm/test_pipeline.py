@@ -1,5 +1,6 @@
 """The stages' decisions take effect, each on all that its predecessor kept."""
 
+import collections
 import hashlib
 import itertools
 
@@ -94,3 +95,31 @@ def test_dedup_stages_against_brute_force(spark, sf_dir, tmp_path, rows):
     got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, kept, sf_dir).collect()]
     want = first_of_each(want)
     assert len(got) == len(want) and set(got) == want
+
+
+def test_mixing_and_encoding_stages_against_independent_versions(spark, sf_dir, tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rows = [(i, written(50 * i), "a" if i % 3 else "b") for i in range(24)] + [(60 + i, "one two three", "c") for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/in")
+    corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/in"), sf_dir).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    got = collections.Counter((r["doc_id"], r["text"], r["source"]) for r in mixed.collect())
+    assert set(got) <= set(rows) and max(got.values()) <= 2
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    words = {s: sum(n * len(t.split()) for (_, t, x), n in got.items() if x == s) for s in "abc"}
+    # weights 3, 1, 2 of 1.5 x all words; c is full at twice its size, and a and b share the rest 3 to 1
+    rest = 1.5 * sum(sizes.values()) - 2 * sizes["c"]
+    want = {"a": rest * 3 / 4, "b": rest / 4, "c": 2 * sizes["c"]}
+    assert want["a"] <= 2 * sizes["a"] and want["b"] <= 2 * sizes["b"]
+    assert all(0 <= round(want[s]) - words[s] < 40 for s in want)
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    encoded = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.encode(spark, mixed, sf_dir).collect())
+    assert encoded == collections.Counter({(k, tuple(library.encode(t))): n for (k, t, _), n in got.items()})
+
+
+def test_toxicity_stage_drops_by_each_score(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = docs.select("doc_id", "text").collect()
+    want = sorted(r["doc_id"] for r in rows if toxicity.score_texts(net, [r["text"]])[0] < toxicity.THRESHOLD)
+    assert ids(corpus_pipeline.drop_toxic(spark, docs, sf_dir)) == want
