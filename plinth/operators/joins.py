@@ -27,16 +27,14 @@ def hash_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     taken = set(left.columns)
     names = {c: c if merge_names and c not in taken else f"{right_key}__{c}" for c in right.columns}
     r = right.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    if strategy == "nested":
-        r = r.hint("shuffle_replicate_nl")
-    elif strategy not in ("hash", "auto"):
+    if strategy not in ("hash", "nested", "auto"):
         raise PlanError(f"unknown join strategy {strategy!r}")
     return left.join(r, left[f"`{left_key}`"].eqNullSafe(r[f"`{names[right_key]}`"]), "inner")
 
 
 def nested_loop_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """The same relation with all columns prefixed ``l.`` and ``r.``; for small inputs."""
+    """The same relation with all columns prefixed ``l.`` and ``r.``. An equality needs no cartesian product, so Spark plans it as any equi-join."""
     _same_kind(left, right, left_key, right_key)
     l = left.select(*(F.col(f"`{c}`").alias(f"l.{c}") for c in left.columns))
     r = right.select(*(F.col(f"`{c}`").alias(f"r.{c}") for c in right.columns))
-    return l.join(r.hint("shuffle_replicate_nl"), F.col(f"`l.{left_key}`").eqNullSafe(F.col(f"`r.{right_key}`")), "inner")
+    return l.join(r, F.col(f"`l.{left_key}`").eqNullSafe(F.col(f"`r.{right_key}`")), "inner")

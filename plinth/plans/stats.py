@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def collect(df: DataFrame, *columns: str, approximate: bool = False) -> DataFrame:
@@ -16,9 +16,18 @@ def collect(df: DataFrame, *columns: str, approximate: bool = False) -> DataFram
     return df.agg(*aggs).select(F.explode(F.array(*(F.col(f"`s_{c}`") for c in names))).alias("s")).select("s.*")
 
 
-def table_stats(df: DataFrame) -> dict:
-    rows = df.count()
-    return {"rows": rows, "columns": len(df.columns), "raw_estimate": rows * len(df.columns) * 16, "partitions": df.rdd.getNumPartitions()}
+def table_stats(df: DataFrame, order: str, chunk_size: int = 8192, indexes: list[str] | None = None) -> DataFrame:
+    """One row: rows, chunks (of all columns), encoded_bytes with the codec chosen for each chunk, raw_estimate, indexes (sorted names, comma-joined)."""
+    from plinth.plans.codecs import chunked, encode
+
+    sizes = None
+    for c in df.columns:
+        kind = df.schema[c].dataType
+        plain = df if isinstance(kind, T.NumericType | T.StringType | T.BooleanType | T.TimestampType) else df.withColumn(c, F.col(f"`{c}`").cast("string"))
+        one = encode(chunked(plain, c, order, chunk_size)).select("row_count", "encoded_size", F.lit(c == order).alias("_first"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    rows = F.coalesce(F.sum(F.when(F.col("_first"), F.col("row_count"))), F.lit(0))
+    return sizes.agg(rows.alias("rows"), F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("encoded_size"), F.lit(0)).cast("bigint").alias("encoded_bytes"), (rows * len(df.columns) * 16).alias("raw_estimate"), F.lit(",".join(sorted(indexes or []))).alias("indexes"))
 
 
 def join_order(sizes: dict[str, int]) -> list[str]:
