@@ -13,6 +13,11 @@ def build(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     return df.dropna(subset=keys).groupBy(*keys).agg(F.sort_array(F.collect_list(row_id)).alias("row_ids"))
 
 
+def build_chunks(df: DataFrame, key: str, row_id: str, span: int = 1 << 16) -> DataFrame:
+    """The same for integer row ids in bounded rows: key, chunk, ascending ids from chunk x span on. A hot key has many rows instead of one long list."""
+    return df.dropna(subset=[key]).groupBy(F.col(f"`{key}`"), F.floor(F.col(f"`{row_id}`") / span).alias("chunk")).agg(F.sort_array(F.collect_set(f"`{row_id}`")).alias("row_ids"))
+
+
 def lookup(df: DataFrame, key: dict[str, object], row_id: str) -> DataFrame:
     """Row ids of one key, ascending. The equality is pushed to the scan."""
     return df.where(functools.reduce(operator.and_, (F.col(c) == F.lit(v) for c, v in key.items()))).select(row_id).orderBy(row_id)
