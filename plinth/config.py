@@ -24,13 +24,12 @@ class EngineConfig:
     extra: dict[str, str] = field(default_factory=dict)
 
     def spark_conf(self) -> dict[str, str]:
-        """Session settings; ``max_rows_in_memory`` has none, since Spark spills by itself."""
+        """Session settings. ``max_rows_in_memory`` has none, since Spark spills by itself; ``query_timeout_ms`` is kept by ``Engine.collect``, ``cache_chunk_decodes`` by ``Engine.read_chunk``."""
         return {
             "spark.sql.parquet.columnarReaderBatchSize": str(self.chunk_size),
             "spark.sql.execution.arrow.maxRecordsPerBatch": str(self.default_batch_size),
             "spark.sql.optimizer.runtime.bloomFilter.enabled": str(self.enable_bloom_prefilter).lower(),
             "spark.sql.parquet.filterPushdown": str(self.enable_zone_maps).lower(),
-            "spark.sql.broadcastTimeout": str(max(1, self.query_timeout_ms // 1000)),
             **self.extra,
         }
 
