@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plinth.config import EngineConfig
 from plinth.functions import hashing
-from plinth.index import bitset, bloom, inverted, postings, zonemap
+from plinth.index import bitset, bloom, inverted, postings, rowgroups, zonemap
 from plinth.operators import joins, relational, sorting, windows
-from plinth.plans import encodings, layout, stats
-from plinth.session import Engine
+from plinth.plans import codecs, encodings, layout, stats
+from plinth.plans.shared import Scratch
+from plinth.session import Engine, open_parquet
+from plinth.sources import journal
+from plinth.sources.csv import read_csv, write_csv
+from plinth.sources.jsonl import read_jsonl
 from plinth.sources.validate import BatchValidator
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return open_parquet(spark, f"{sf_dir}/{table}.parquet")
 
 
 def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
@@ -61,7 +65,7 @@ def _frame(name: str, oracle: str | None = None):
     return add
 
 
-_dialect("flagship", "SELECT event_type, COUNT(*) AS n, SUM(value) AS rev FROM events WHERE value > 10 GROUP BY event_type ORDER BY n DESC LIMIT 5", "SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS rev FROM events WHERE value > 10 GROUP BY event_type", ("rev",))
+_dialect("flagship", "SELECT event_type, COUNT(*) AS n, SUM(value) AS rev FROM events WHERE value > 10 GROUP BY event_type ORDER BY n DESC LIMIT 5", "SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS rev FROM events WHERE value > 10 GROUP BY event_type ORDER BY n DESC LIMIT 5", ("rev",))
 _dialect("scan_region", "SELECT * FROM region", "SELECT * FROM region")
 _dialect("alias", "SELECT event_id AS id, value AS amount FROM events", "SELECT event_id AS id, value AS amount FROM events")
 _dialect("filter_and", "SELECT event_id, value FROM events WHERE value > 50.0 AND event_type = 'click'", "SELECT event_id, value FROM events WHERE value > 50 AND event_type = 'click'")
@@ -319,6 +323,108 @@ def _(spark, d):
     return e.select("event_id", parse_value(text, T.LongType()).alias("whole"), parse_value(flag, T.BooleanType()).alias("flag"))
 
 
+FMIX = "(SELECT event_id, user_id::UBIGINT AS h FROM events)"
+for _m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):  # the low half of the product of two 64-bit numbers, by halves that fit
+    FMIX = f"(SELECT event_id, (((h & 4294967295)::HUGEINT * {_m} + (((h >> 32)::HUGEINT * {_m}) % 4294967296) * 4294967296) % 18446744073709551616)::UBIGINT AS h FROM (SELECT event_id, xor(h, h >> 33) AS h FROM {FMIX}))"
+
+
+@_frame("fmix64_rows", f"SELECT event_id, CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h END::BIGINT AS mixed FROM (SELECT event_id, xor(h, h >> 33) AS h FROM {FMIX})")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", hashing.fmix64(F.col("user_id").cast("bigint")).alias("mixed"))
+
+
+EVENT_CELLS = ["event_id", "user_id", "event_type", "value"]
+CELLS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+ALL_CELLS = "SELECT event_id, user_id, event_type, value FROM events"
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(*(F.col(f.name).cast(f.dataType) for f in CELLS))
+
+
+@_frame("csv_round_trip", ALL_CELLS)
+def _(spark, d):
+    at = f"{Scratch(spark, 'csv').root}/events"
+    write_csv(_cells(spark, d), at)
+    return read_csv(spark, at, CELLS)
+
+
+@_frame("csv_inferred", ALL_CELLS)
+def _(spark, d):
+    at = f"{Scratch(spark, 'csv').root}/events"
+    write_csv(_cells(spark, d), at)
+    return read_csv(spark, at)
+
+
+@_frame("jsonl_round_trip", ALL_CELLS)
+def _(spark, d):
+    at = f"{Scratch(spark, 'jsonl').root}/events"
+    _cells(spark, d).write.json(at)
+    return read_jsonl(spark, at, CELLS)
+
+
+@_frame("journal_replay", f"SELECT seq, event_id, user_id, event_type, value FROM ({ALL_CELLS}), (SELECT UNNEST([1, 2]) AS seq)")
+def _(spark, d):
+    at = f"{Scratch(spark, 'journal').root}/events"
+    for seq in (1, 2):
+        journal.append_insert(_cells(spark, d), at, "events", seq)
+    return journal.rows_of(journal.replay(spark, at), "events", CELLS)
+
+
+@_frame("hash_posting_chunks", "SELECT user_id, event_id // 4096 AS chunk, ARRAY_TO_STRING(LIST(event_id ORDER BY event_id), ',') AS row_ids FROM events GROUP BY ALL")
+def _(spark, d):
+    return postings.build_chunks(read(spark, d, "events"), "user_id", "event_id", 4096).withColumn("row_ids", F.concat_ws(",", F.col("row_ids").cast("array<string>")))
+
+
+def _encoded(spark: SparkSession, d: str, column: str, codec: str, size: int = 1024) -> DataFrame:
+    return codecs.encode(codecs.chunked(sparse(spark, d), column, "event_id", size), codec)
+
+
+for _codec, _column in (("raw", "v"), ("delta", "user_id"), ("rle", "et"), ("dict", "et"), ("auto", "et"), ("auto", "user_id")):
+
+    @_frame(f"decode_{_codec}_{_column}", f"SELECT (rn // 1024) AS chunk_id, CAST(rn % 1024 AS INTEGER) AS pos, {_column} AS value FROM (SELECT {_column}, ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS rn FROM {NE} ne)")
+    def _(spark, d, codec=_codec, column=_column):
+        return codecs.decode(_encoded(spark, d, column, codec))
+
+
+@_frame("codec_slice", f"SELECT rn AS pos, et AS value FROM (SELECT et, ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS rn FROM {NE} ne) WHERE rn >= 1000 AND rn < 1064")
+def _(spark, d):
+    return codecs.decode_range(_encoded(spark, d, "et", "auto"), 1000, 1064, 1024)
+
+
+#: Bytes of the raw, the delta and the dictionary form of each chunk.
+SIZES = f"SELECT rn // 1024 AS chunk_id, CAST(SUM(CASE WHEN et IS NULL THEN 1 ELSE 5 + strlen(et) END) AS BIGINT) AS raw_size, 8 * COUNT(*) AS delta_size, (SELECT SUM(CASE WHEN x IS NULL THEN 1 ELSE 5 + strlen(x) END + 2) FROM (SELECT UNNEST(LIST(DISTINCT et) || CASE WHEN COUNT(*) > COUNT(et) THEN [NULL] ELSE [] END) AS x)) + 4 + 4 * COUNT(*) AS dict_size FROM (SELECT et, ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS rn FROM {NE} ne) GROUP BY 1"
+
+
+@_frame("codec_sizes", f"SELECT chunk_id, raw_size, delta_size, CAST(dict_size AS BIGINT) AS dict_size FROM ({SIZES})")
+def _(spark, d):
+    by = lambda column, codec: _encoded(spark, d, column, codec).select("chunk_id", F.col("encoded_size").alias(f"{codec}_size"))
+    return by("et", "raw").join(by("user_id", "delta"), "chunk_id").join(by("et", "dict"), "chunk_id")
+
+
+@_frame("row_group_scan", "SELECT event_id, user_id FROM events WHERE event_id BETWEEN 2500 AND 3500")
+def _(spark, d):
+    groups = rowgroups.build(read(spark, d, "events").select("event_id", "user_id"), "event_id", 1024)
+    return rowgroups.scan(groups, "event_id", ["event_id", "user_id"], 2500, 3500)
+
+
+@_frame("bitset_clear", "SELECT event_id AS row_id FROM events WHERE value > 50 AND event_type <> 'click'")
+def _(spark, d):
+    e = read(spark, d, "events")
+    return bitset.ids(bitset.clear(bitset.build(e.where("value > 50"), "event_id"), e.where("event_type = 'click'").select("event_id")))
+
+
+@_frame("bitset_or", "SELECT COUNT(*) AS n FROM events WHERE value > 50 OR event_type = 'click'")
+def _(spark, d):
+    e = read(spark, d, "events")
+    return bitset.popcount(bitset.either(bitset.build(e.where("value > 50"), "event_id"), bitset.build(e.where("event_type = 'click'"), "event_id")))
+
+
+@_frame("table_stats", "SELECT COUNT(*) AS rows, 2 * CAST(CEIL(COUNT(*) / 1024) AS BIGINT) AS chunks, 16 * COUNT(*) AS encoded_bytes, 32 * COUNT(*) AS raw_estimate, 'user_id' AS indexes FROM events")
+def _(spark, d):
+    return stats.table_stats(read(spark, d, "events").select("event_id", "user_id"), "event_id", 1024, ["user_id"])
+
+
 @_frame("generate_events")
 def _(spark, d):
     from plinth.sources.generate import generate_events
