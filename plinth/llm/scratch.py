@@ -1,34 +1,5 @@
 """Tables written between the steps of an operator, in the folder all executors share."""
 
-from __future__ import annotations
+from plinth.plans.shared import Scratch, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only a session without one (tests on one machine) gets a temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='plinth-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at if "://" in at else f"file://{at}" if at.startswith("/") else at
-
-
-class Scratch:
-    """A folder of an operator's run. A kept table cuts the lineage: it survives the loss of any executor."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads."""
-        for n in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]
