@@ -1,28 +1,41 @@
 """SentencePiece models as weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (characters to
-normalised characters), the lexicon (a trie that reads characters and emits
-pieces) and the byte fallback (a character without a piece emits its UTF-8
-bytes). They are composed with the input, and the path of least weight in the
-tropical semiring (weights add along a path, the least total wins) is the
-encoding.
-
-Weights. In a unigram model an arc weighs minus its piece's score. A BPE
-model has no additive scores; its encoding is the one path on which every two
-neighbours are what BPE makes of their joint text, so an arc weighs 0 after a
-neighbour it is compatible with and infinity after any other. Compatibility
-of two pieces follows from the merge order and is remembered. With that
-constraint one state per position suffices: exactly one piece ends the encoding
-of each prefix, as all other arcs into the position weigh infinity.
-
-No piece holds a space mark after another character, so a normalised text falls
-into independent stretches (marks, then other characters); each distinct
-stretch is composed once and remembered by its worker: two generations of
-MEMORY stretches, of which those in use pass to the younger.
+A model file is compiled to three machines with explicit states and arcs:
+
+* the normaliser, a sequential transducer over characters whose states are the
+  start of a text, its body and, where runs of spaces are squeezed, a gap;
+* the lexicon, a trie with an arc for each character and a piece at the states
+  where one is complete (it reads right to left, so that what ends at a
+  position is found from there);
+* the byte fallback, which reads one character that is no piece and emits the
+  pieces of its UTF-8 bytes.
+
+An input is composed with the normaliser, and the result with the union of
+lexicon and fallback; the encoding is the path of least weight in the tropical
+semiring (weights add along a path, the least total wins).
+
+Weights. In a unigram model an arc weighs minus its piece's score, the fallback
+ten more than the worst piece. A BPE model has no additive scores; its encoding
+is the one path on which every two neighbours are what BPE makes of their joint
+text. So the lexicon is composed with a machine that has a state for each last
+piece, and an arc of weight 0 to each piece that BPE leaves apart from it, of
+infinity to any other. These arcs follow from the merge order, are made when
+they are first asked for, and are remembered. In both kinds of model one state
+for each position has a finite least weight to keep: a unigram model has one
+state only, and of a BPE model exactly one piece ends the encoding of each
+prefix. So the same search runs for both.
+
+No piece holds a space mark after another character, so a text falls into
+independent stretches (spaces or marks, then other characters), between which
+the normaliser is in its body state; each distinct stretch is composed once and
+remembered by its worker: two generations of MEMORY stretches, of which those
+in use pass to the younger.
 
 Null texts encode to null ids; empty texts to none. Decoding inverts exactly
-whatever the normaliser keeps. Rows are handled one by one; other columns are
-not carried.
+whatever the normaliser keeps. Rows are handled one by one; null keys and
+repeated rows are rows like any other; other columns are not carried. Models
+with a compiled character map, user-defined pieces or, in BPE, unused pieces
+raise an error.
 """
 
 from __future__ import annotations
@@ -83,26 +96,59 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
             raise ValueError(f"wire type {kind} is not in use")
 
 
+START, BODY, GAP = 0, 1, 2
+#: Stands before a stretch that begins a text; no text holds it.
+FIRST = "\ud800"
+#: Bits of a character's number in the key of an arc.
+CHARACTER = 21
+
+
 class Normaliser:
-    """Character map, white-space rules and space marks. Without a map each character maps to itself."""
+    """White-space rules and space marks. arcs: (state, is it a space) -> next state, what is written before the character, whether the character is copied."""
 
     def __init__(self, spec: dict[int, object]):
         if spec.get(2):
             raise ValueError("models with a compiled character map are not supported")
         self.prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-
-    def __call__(self, text: str) -> str:
+        self.mark = mark = MARK if self.escape else " "
+        begin = mark if self.prefix else ""
+        self.arcs = {(START, False): (BODY, begin, True), (BODY, False): (BODY, "", True)}
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", MARK) if self.escape else text
+            self.arcs |= {(START, True): (START, "", False), (BODY, True): (GAP, "", False), (GAP, True): (GAP, "", False), (GAP, False): (BODY, mark, True)}
+        else:
+            self.arcs |= {(START, True): (BODY, begin + mark, False), (BODY, True): (BODY, mark, False)}
+
+    def compose(self, text: str, state: int = START) -> str:
+        """What the machine writes as it reads a text from a state, which ends with the text or before a space. Where spaces are squeezed, marks at the end go too."""
+        out = []
+        for c in text:
+            state, before, copied = self.arcs[state, c == " "]
+            out.append(before + c if copied else before)
+        text = "".join(out)
+        return text.rstrip(self.mark) if self.squeeze else text
 
     def invert(self, text: str) -> str:
         text = text.replace(MARK, " ") if self.escape else text
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class Lexicon:
+    """Trie of the pieces. arcs: state and character in one number -> state; pieces: the piece complete at each state, or -1."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.arcs: dict[int, int] = {}
+        self.pieces = [-1]
+        for text, i in pieces.items():
+            state = 0
+            for c in reversed(text):
+                at = state << CHARACTER | ord(c)
+                state = self.arcs.get(at, -1)
+                if state < 0:
+                    state = self.arcs[at] = len(self.pieces)
+                    self.pieces.append(-1)
+            self.pieces[state] = i
+
+
 class Transducer:
     """The compiled model."""
 
@@ -123,32 +169,37 @@ class Transducer:
             elif number == NORMALIZER:
                 normaliser = dict(fields(value))
         self.bpe = trainer.get(3, UNIGRAM) == BPE
-        self.normalise = Normaliser(normaliser)
+        if USER in self.kinds or self.bpe and UNUSED in self.kinds:
+            raise ValueError("user-defined pieces, and unused ones in a BPE model, are not supported")
+        self.normaliser = Normaliser(normaliser)
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
-        if USER in self.kinds:
-            raise ValueError("user-defined pieces are not supported")
-        self.arcs = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, UNUSED)}
-        self.longest = max(map(len, self.arcs), default=1)
-        self.floor = min((self.scores[i] for i in self.arcs.values()), default=0.0) - 10.0
-        self.split = not any(MARK in p.lstrip(MARK) for p in self.arcs)
+        self.known = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
+        self.split = self.normaliser.escape and not any(MARK in p.lstrip(MARK) for p in self.known)
         spell = {BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " ⁇ ".encode(), CONTROL: lambda p: b""}
         self.spelled = [spell.get(k, str.encode)(p) for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._made: dict[str, tuple[str, str] | None] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-        #: Pieces that merges can make. In a BPE model only these are ever emitted.
-        self.reached = {p for p in self.arcs if len(p) == 1 or self.halves(p)} if self.bpe else set(self.arcs)
+        self._apart: dict[int, float] = {}
+        self._memory: dict[str, tuple[bytes, bytes]] = {}
+        self._older: dict[str, tuple[bytes, bytes]] = {}
+        if self.bpe:  # only pieces that merges can make are ever emitted
+            self.lexicon = Lexicon({p: i for p, i in self.known.items() if len(p) == 1 or self.halves(p)})
+            if any(max(map(self.rank, h)) > self.rank(p) for p, h in self._made.items() if h):
+                raise ValueError("a piece of this BPE model is merged before its parts are")
+            self.weights, self.fallback = [0.0] * len(self.pieces), 0.0
+        else:
+            self.lexicon = Lexicon(self.known)
+            self.weights = [-s for s in self.scores]
+            self.fallback = 10.0 - min((self.scores[i] for i in self.known.values()), default=0.0)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_fits": {}, "_known": {}, "_older": {}}
+        return self.__dict__ | {"_apart": {}, "_memory": {}, "_older": {}, "_made": {}}
 
-    # -- compatibility of neighbours in a BPE model
+    # -- the machine of last pieces, for BPE models
 
     def rank(self, piece: str) -> float:
         """When a piece is merged: single characters are there from the start, then by falling score."""
-        i = self.arcs.get(piece)
+        i = self.known.get(piece)
         return -INFINITY if len(piece) == 1 or i is None else -self.scores[i]
 
     def halves(self, piece: str) -> tuple[str, str] | None:
@@ -165,7 +216,7 @@ class Transducer:
         while len(parts) > stop:
             best, at = -INFINITY, -1
             for i in range(len(parts) - 1):
-                joint = self.arcs.get(parts[i] + parts[i + 1])
+                joint = self.known.get(parts[i] + parts[i + 1])
                 if joint is not None and self.scores[joint] > best:
                     best, at = self.scores[joint], i
             if at < 0:
@@ -173,22 +224,11 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether BPE leaves these two pieces apart, as they are, when one follows the other."""
-        found = self._fits.get((left, right))
-        if found is None:
-            if len(self._fits) > 3 * MEMORY:
-                self._fits.clear()
-            found = self._fits[left, right] = self.apart(left, right)
-        return found
-
     def apart(self, left: str, right: str) -> bool:
         """Undoes the merges on both sides of the border, latest first, and sees whether one across it would have come earlier."""
-        if len(left) > 1 and self.halves(left) is None or len(right) > 1 and self.halves(right) is None:
-            return False
         limit, strict = INFINITY, True
         while True:
-            across = self.arcs.get(left + right)
+            across = self.known.get(left + right)
             if across is not None:
                 r = -self.scores[across]
                 if r < limit or r == limit and not strict:
@@ -201,100 +241,132 @@ class Transducer:
             else:
                 limit, strict, right = rr, False, self.halves(right)[0]
 
+    def name(self, arc: int) -> str:
+        """What an arc reads: a piece, or by the fallback a character (negative numbers)."""
+        return self.pieces[arc] if arc >= 0 else chr(~arc)
+
+    def between(self, left: int, right: int) -> float:
+        """Weight of the arc from one last piece to the next: 0 or infinity."""
+        key = left << 24 | right + (1 << CHARACTER)
+        found = self._apart.get(key)
+        if found is None:
+            if len(self._apart) > 3 * MEMORY:
+                self._apart.clear()
+            found = self._apart[key] = 0.0 if self.apart(self.name(left), self.name(right)) else INFINITY
+        return found
+
     # -- composition and shortest path
 
-    def path(self, text: str, into: list[str] | None = None) -> list[int]:
-        """The least-weight path through input o lexicon o byte fallback, as piece ids.
+    def path(self, text: str, least: list[float] | None = None, last: list[int] | None = None) -> list[int]:
+        """The least-weight path of a normalised text through lexicon and fallback, as piece ids.
 
-        ``into`` has, for a BPE model, the last pieces of prefixes that are
-        already composed, and gets those of the others.
+        ``least`` and ``last`` have the weights and the last arcs of prefixes
+        that are already composed, and get those of the others.
         """
-        n, arcs, longest = len(text), self.arcs, self.longest
-        into = [""] if into is None else into
-        if self.bpe:
-            known, reached = self._fits.get, self.reached
-            for end in range(len(into), n + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    piece = text[start:end]
-                    if piece in reached or start == end - 1:
-                        if not start:
-                            break
-                        fit = known((into[start], piece))
-                        if fit or fit is None and self.fits(into[start], piece):
-                            break
-                else:
-                    raise ValueError(f"no path through {text!r}")
-                into.append(piece)
-        else:
-            weight = [0.0] + [INFINITY] * n
-            into += [""] * n
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = text[start:end]
-                    i = arcs.get(piece)
-                    if i is None and start < end - 1:
+        least, last = ([0.0], [0]) if least is None else (least, last)
+        arcs, emits, weights, between = self.lexicon.arcs, self.lexicon.pieces, self.weights, self.between
+        known = self._apart.get
+        bpe, bound = self.bpe, 0.0 if self.bpe else -INFINITY  # no BPE path weighs less than 0
+        for end in range(len(least), len(text) + 1):
+            best, arc = INFINITY, 0
+            state, at, single = 0, end, -1
+            while at:
+                at -= 1
+                state = arcs.get(state << CHARACTER | ord(text[at]))
+                if state is None:
+                    break
+                p = emits[state]
+                if at == end - 1:
+                    single = p
+                if p < 0:
+                    continue
+                w = least[at] + weights[p]
+                if bpe and at:
+                    gap = known(last[at] << 24 | p + 2097152)
+                    w += between(last[at], p) if gap is None else gap
+                    if w == INFINITY:
                         continue
-                    w = weight[start] - (self.floor if i is None else self.scores[i])
-                    if w < weight[end]:
-                        weight[end], into[end] = w, piece
-        pieces, at = [], n
+                if w <= best:  # of equal paths the one whose last piece is longer
+                    best, arc = w, p
+                    if w <= bound:
+                        break
+            if single < 0 and best > bound:  # no piece reads this character alone
+                c, w = ~ord(text[end - 1]), least[end - 1] + self.fallback
+                if bpe and end > 1:
+                    w += between(last[end - 1], c)
+                if w < best:
+                    best, arc = w, c
+            if best == INFINITY:
+                raise ValueError(f"no path through {text!r}")
+            least.append(best)
+            last.append(arc)
+        found, at = [], len(text)
         while at:
-            pieces.append(into[at])
-            at -= len(into[at])
+            found.append(last[at])
+            at -= 1 if last[at] < 0 else len(self.pieces[last[at]])
         out: list[int] = []
-        for p in reversed(pieces):
-            i = arcs.get(p)
-            if i is not None:
-                out.append(i)
+        for arc in reversed(found):
+            if arc >= 0:
+                out.append(arc)
             elif self.bytes:
-                out += [self.bytes[b] for b in p.encode("utf-8", "replace")]
-            elif out[-1:] != [self.unknown] or self.bpe:
+                out += [self.bytes[b] for b in chr(~arc).encode("utf-8", "replace")]
+            elif out[-1:] != [self.unknown]:  # unknown neighbours are one
                 out.append(self.unknown)
         return out
 
-    STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+    STRETCH = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 
-    def pack(self, stretch: str) -> bytes:
-        """The ids of one stretch as 32-bit integers, composed unless the older generation has them."""
-        if len(self._known) >= MEMORY:
-            self._older = dict(self._known)
-            self._known.clear()
-        found = self._older.get(stretch)
+    def stretches(self, text: str) -> list[str]:
+        """The stretches of a text as it is, the first one marked."""
+        if not text:
+            return []
+        found = self.STRETCH.findall(text) if self.split else [text]
+        found[0] = FIRST + found[0]
+        return found
+
+    def remembered(self, stretch: str) -> tuple[bytes, bytes]:
+        """Ids of a stretch as 32-bit integers, and the bytes that they decode to."""
+        found = self._memory.get(stretch)
         if found is None:
-            ids = self.path(stretch)
-            found = struct.pack(f"<{len(ids)}i", *ids)
-        self._known[stretch] = found
+            found = self._older.get(stretch) or self.made(stretch, *([0.0], [0]))
+            self.remember(stretch, found)
         return found
 
-    def compose(self, stretches: list[str]) -> None:
-        """Composes those not remembered, in sorted order: what neighbours begin with in common is composed once."""
-        known, older = self._known, self._older
-        before, into = "", [""]
-        for s in sorted({s for s in stretches if s not in known and s not in older}):
-            if len(known) >= MEMORY:
-                self._older = dict(known)
-                known.clear()
-            same, most = 0, min(len(before), len(s))
-            while same < most and before[same] == s[same]:
-                same += 1
-            del into[same + 1 :]
-            ids = self.path(s, into if self.bpe else None)
-            known[s] = struct.pack(f"<{len(ids)}i", *ids)
-            before = s
+    def remember(self, stretch: str, found: tuple[bytes, bytes]) -> None:
+        if len(self._memory) >= MEMORY:
+            self._older = self._memory
+            self._memory = {}
+        self._memory[stretch] = found
 
-    def stretches(self, text: str) -> list[str]:
-        whole = self.normalise(text)
-        return self.STRETCH.findall(whole) if self.split else [whole] if whole else []
+    def normal(self, stretch: str) -> str:
+        return self.normaliser.compose(stretch[1:], START) if stretch[:1] == FIRST else self.normaliser.compose(stretch, BODY)
+
+    def made(self, stretch: str, least: list[float], last: list[int]) -> tuple[bytes, bytes]:
+        ids = self.path(self.normal(stretch), least, last)
+        return struct.pack(f"<{len(ids)}i", *ids), b"".join([self.spelled[i] for i in ids])
 
-    def encode_packed(self, text: str) -> bytes:
-        get, pack = self._known.get, self.pack
-        return b"".join([get(s) or pack(s) for s in self.stretches(text)])
+    def compose(self, stretches: list[str]) -> None:
+        """Composes those not remembered, in the order of their normal forms: what neighbours begin with in common is composed once."""
+        memory, older = self._memory, self._older
+        new = sorted((self.normal(s), s) for s in {s for s in stretches if s not in memory and s not in older})
+        before, least, last = "", [0.0], [0]
+        for text, s in new:
+            same, most = 0, min(len(before), len(text))
+            while same < most and before[same] == text[same]:
+                same += 1
+            del least[same + 1 :], last[same + 1 :]
+            ids = self.path(text, least, last)
+            self.remember(s, (struct.pack(f"<{len(ids)}i", *ids), b"".join([self.spelled[i] for i in ids])))
+            before = text
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
+        return np.frombuffer(b"".join([self.remembered(s)[0] for s in self.stretches(text)]), "<i4").tolist()
+
+    def read_back(self, spelled: bytes) -> str:
+        return self.normaliser.invert(spelled.decode("utf-8", "replace"))
 
     def decode(self, ids: list[int]) -> str:
-        return self.normalise.invert(b"".join([self.spelled[i] for i in ids]).decode("utf-8", "replace"))
+        return self.read_back(b"".join([self.spelled[i] for i in ids]))
 
 
 def model_bytes(spark: SparkSession, path: str) -> bytes:
@@ -333,13 +405,15 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         texts = b.column("text").to_pylist()
         found = [None if t is None else machine.stretches(t) for t in texts]
         machine.compose([s for f in found if f for s in f])
-        get, pack = machine._known.get, machine.pack
+        get, remembered = machine._memory.get, machine.remembered
         made, packed = [], []
         for t, f in zip(texts, found, strict=True):
-            data = b"".join([get(s) or pack(s) for s in f]) if f else b""
+            parts = [get(s) or remembered(s) for s in f] if f else []
+            data = b"".join([p[0] for p in parts])
             ids = np.frombuffer(data, "<i4")
             packed.append(data)
-            made.append((len(ids), int(fallback[ids].sum()), zlib.crc32(data), None if t is None or not verify else machine.decode(ids.tolist()) == t, t is None))
+            back = None if t is None or not verify else machine.read_back(b"".join([p[1] for p in parts])) == t
+            made.append((len(ids), int(fallback[ids].sum()), zlib.crc32(data), back, t is None))
         columns = [pa.array(c, k[2]) for c, k in zip(zip(*made, strict=True) if made else [[]] * 4, kinds[:4], strict=False)]
         if keep_ids:
             ends = pa.array(np.cumsum([0, *(m[0] for m in made)]), pa.int32())
