@@ -10,7 +10,9 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -19,6 +21,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and, but for single longer texts, ``most`` bytes of the text column."""
+    for b in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(text)), 0).cast(pa.int64())).to_numpy() if b.num_rows else np.zeros(0, np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def give_back() -> None:
     """Free memory that the allocators hold goes back to the system. Other C libraries than glibc have no trim and need none."""
     gc.collect()

@@ -8,6 +8,14 @@ so windows are chosen by the network itself as it learns: of a toxic text the
 highest-scored window trains as toxic, of another text the highest-scored and
 a random one as clean. Labels, language, source and id are no inputs.
 
+With few toxic rows a network learns those rows by heart. So its embeddings
+begin with the evidence of the training rows: the first dimension of a word or
+character n-gram is the signed root of the likelihood ratio of its presence in
+toxic and other texts, where that exceeds what chance gives the strongest of
+all of them. The random part of the embeddings is smaller the more that counts,
+and the evidence fades as FEW / toxic rows, squared, so that with many rows the
+network learns freely.
+
 A text's score is that of its highest window. Null texts and texts without
 words score 0; without labels of both kinds every score is 0. Rows are scored
 one by one. Other columns are not carried. Null keys count as not held out.
@@ -21,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.batches import tidy
-from plinth.llm.gru import Adam, Network, Spelling, sigmoid, words_of
+from plinth.llm.batches import bounded, tidy
+from plinth.llm.gru import NGRAM_ROWS, WORD_ROWS, Adam, Network, Spelling, sigmoid, words_of
 
 WIDTH, STRIDE = 48, 32
 MOST_POSITIVE, MOST_NEGATIVE = 1200, 2400
 EPOCHS, BATCH, THRESHOLD = 14, 64, 0.7
 #: Few labelled rows are passed over more often, up to so many texts in all.
 LEAST_SEEN = 24_000
-ROWS, WINDOWS = 1000, 2048
+WINDOWS = 2048
+#: Toxic rows at which evidence and random start weigh alike.
+FEW = 100
 
 
 def window_starts(n: int) -> list[int]:
@@ -82,6 +92,32 @@ def score_texts(network: Network, texts: list) -> np.ndarray:
     return out
 
 
+def evidence(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """For each row of an embedding the signed root of its likelihood ratio, from the texts of both kinds that have it; 0 under the level that the strongest of as many rows reaches by chance."""
+    n = toxic + other
+    expected = n * n_toxic / (n_toxic + n_other)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(toxic > 0, toxic * np.log(toxic / expected), 0) + np.where(other > 0, other * np.log(other / (n - expected)), 0))
+    z = np.sqrt(np.maximum(np.nan_to_num(ratio), 0)) * np.sign(toxic - expected)
+    level = np.sqrt(2 * np.log(max(2, np.count_nonzero(n))))
+    return np.where(np.abs(z) >= level, z, 0)
+
+
+def informed(network: Network, spelling: Spelling, numbered: list[np.ndarray], labels: list[int]) -> None:
+    """Starts the embeddings from the evidence of the training texts."""
+    seen = {"words": np.zeros((2, WORD_ROWS)), "ngrams": np.zeros((2, NGRAM_ROWS))}
+    for x, y in zip(numbered, labels, strict=True):
+        distinct = np.unique(x)
+        if len(distinct):
+            seen["words"][y, np.unique(spelling.rows[distinct])] += 1
+            seen["ngrams"][y, np.unique(spelling.part(distinct)[0])] += 1
+    n = np.bincount(labels, minlength=2)
+    weight = 1 / (1 + (n[1] / FEW) ** 2)
+    for name, (other, toxic) in seen.items():
+        network.p[name] *= np.float32(1 - 0.7 * weight)
+        network.p[name][:, 0] += (weight / 4 * evidence(toxic, other, n[1], n[0])).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> Network | None:
     """None unless there are texts of both labels."""
     if len(set(labels)) < 2:
@@ -91,6 +127,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     words, numbered = number(texts)
     windows, lengths, owners = windows_of(numbered)
     spelling, y = Spelling(words), np.array(labels, np.float32)[owners]
+    informed(network, spelling, numbered, labels)
     per = np.bincount(owners, minlength=len(texts))
     bounds = np.concatenate([[0], np.cumsum(per)])
     adam = Adam(network)
@@ -123,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     some = [known.where(F.col("y") == v).orderBy(F.xxhash64("key"), "key").limit(n) for v, n in ((1, MOST_POSITIVE), (0, MOST_NEGATIVE))]
     chosen = some[0].unionByName(some[1])  # at most MOST_POSITIVE + MOST_NEGATIVE rows
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "key")
+    rows = rows.groupBy("key", "y").agg(F.min("text").alias("text"))  # one text of each key, however often it repeats
     found = sorted({(r["key"], r["y"], r["text"]) for r in rows.collect() if r["text"]})
     return train([t for _, _, t in found], [y for _, y, _ in found])
 
@@ -137,11 +175,9 @@ def score_documents(docs: DataFrame, network: Network | None, key: str = "doc_id
         if parameters:
             net = Network.__new__(Network)
             net.p = parameters
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                scores = score_texts(net, part.column("text").to_pylist()) if net else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(scores)], names=["key", "score"])
+        for part in bounded(batches, 1):
+            scores = score_texts(net, part.column("text").to_pylist()) if net else np.zeros(part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(scores)], names=["key", "score"])
 
     kind = dict(rows.dtypes)["key"]
     scored = rows.mapInArrow(tidy(run), f"key {kind}, score double")
@@ -158,9 +194,7 @@ def clean_documents(docs: DataFrame, network: Network | None, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.__new__(Network)
         net.p = parameters
-        for b in batches:
-            for start in range(0, b.num_rows, ROWS):
-                part = b.slice(start, ROWS)
-                yield part.filter(pa.array(score_texts(net, part.column(at).to_pylist()) < threshold))
+        for part in bounded(batches, at):
+            yield part.filter(pa.array(score_texts(net, part.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(tidy(run), docs.schema)
