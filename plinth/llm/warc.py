@@ -29,10 +29,13 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from plinth.llm.keys import integer_key
 from plinth.llm.scratch import Scratch
 
 LEAST_REVISIT = 1000
 MAX_GAP, MAX_READ = 64 << 10, 8 << 20
+#: Archive bytes (compressed) that one reading task fetches.
+READ_TASK = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "key bigint, path string, offset bigint, length bigint, url string, digest string, record_type string"
@@ -82,9 +85,12 @@ def parse(member: bytes) -> tuple:
 def write_archives(pages: DataFrame, scratch: Scratch, key: str = "page_id", url: str = "url", payload: str = "html", least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Writes all rows and returns the index."""
     body = F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{url}`").alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "full": F.sha2("payload", 256)})
+    rows = pages.select(integer_key(pages, key).alias("key"), F.col(f"`{url}`").alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "full": F.sha2("payload", 256)})
     copies = rows.where(F.octet_length("payload") >= least_revisit).groupBy("full").agg(F.max("key").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    dealt = rows.join(copies, "full", "left").withColumn("revisit", F.col("keeper").isNotNull() & ~F.col("key").eqNullSafe(F.col("keeper")))
+    # only payloads that may be revisits travel by their digest; the others are written where they are read
+    long = F.octet_length("payload") >= least_revisit
+    dealt = rows.where(long).join(copies, "full", "left").unionByName(rows.where(~long).withColumn("keeper", F.lit(None).cast("bigint")))
+    dealt = dealt.withColumn("revisit", F.col("keeper").isNotNull() & ~F.col("key").eqNullSafe(F.col("keeper")))
     root = f"{scratch.root}/archives"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +144,10 @@ def read_archives(index: DataFrame, root: str, payloads: bool = True) -> DataFra
                     found = [(*r[:-1], None) for r in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    ordered = index.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    # tasks by the bytes they will fetch, not by those of the index
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-size // READ_TASK))
+    ordered = index.select("path", "offset", "length").repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     return ordered.mapInArrow(run, READ)
 
 
