@@ -52,6 +52,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plinth.llm.batches import slices, tidy
 from plinth.llm.components import components
+from plinth.llm.keys import integer_key
 from plinth.llm.scratch import Scratch
 from plinth.llm.words import Vocabulary, mix, shingle_hashes, words_of
 
@@ -59,6 +60,8 @@ from plinth.llm.words import Vocabulary, mix, shingle_hashes, words_of
 RARE = 16
 ROUNDS = 3
 SMALL, BLOCK_TOKENS = 32, 200_000
+#: Pairs of blocks that one task multiplies.
+MEETINGS = 16
 #: Keys that are sent to every executor at most (8 bytes each); beyond it they are joined.
 MOST_SENT = 2_000_000
 
@@ -107,7 +110,7 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def documents(docs: DataFrame, key: str, text: str, n: int, at: Threshold) -> DataFrame:
     """key, n, fp, prefix of every row."""
-    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(integer_key(docs, key).alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in text_sets(batches, n):
@@ -181,7 +184,7 @@ def index(sets: DataFrame, scratch: Scratch, at: Threshold) -> DataFrame:
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int, scratch: Scratch) -> DataFrame:
     """node, tokens of the wanted nodes (node, rep, fp), from the texts of their representatives alone."""
     reps = wanted.select("rep").distinct()
-    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(integer_key(docs, key).alias("key"), F.col(f"`{text}`").alias("text"))
     few = wanted.count() <= MOST_SENT
     rows = rows.join(F.broadcast(reps) if few else reps, rows["key"].eqNullSafe(reps["rep"]), "left_semi")
 
@@ -259,7 +262,9 @@ def block_links(open_: DataFrame, sets: DataFrame, scratch: Scratch, at: Thresho
     data = scratch.keep(data, "dense-blocks")
     ranges = data.select("cluster", "block", "lo", "hi")
     met = ranges.select("cluster", "block", "hi").join(ranges.select("cluster", F.col("block").alias("block2"), F.col("lo").alias("lo2")), "cluster").where((F.col("block") <= F.col("block2")) & (at.num * F.col("lo2") <= at.den * F.col("hi"))).select("cluster", "block", "block2")
-    rows = met.repartition(64).join(data.select("cluster", "block", F.col("rows").alias("rows1")), ["cluster", "block"]).join(data.select("cluster", F.col("block").alias("block2"), F.col("rows").alias("rows2")), ["cluster", "block2"])
+    met = scratch.keep(met, "dense-met")
+    tasks = max(1, -(-met.count() // MEETINGS))
+    rows = met.repartition(tasks).join(data.select("cluster", "block", F.col("rows").alias("rows1")), ["cluster", "block"]).join(data.select("cluster", F.col("block").alias("block2"), F.col("rows").alias("rows2")), ["cluster", "block2"])
 
     def columns(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         x = cell.values
