@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plinth.llm.batches import slices
+from plinth.llm.keys import integer_key
 from plinth.llm.words import Vocabulary, ngram_hashes, words_of
 
 CHUNK = 4_000_000
-#: Input bytes (as Spark estimates them) to a bucket, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 1 << 16
+#: Bytes of text to a bucket: few, while the chunks' rows stay large; beyond MANY buckets, what a task can hold.
+BUCKET_BYTES, MANY, LARGE_BUCKET = 4 << 20, 1 << 16, 64 << 20
 PACKED = "group long, chunk string, part int, hashes binary, counts binary, sequence binary"
 SCORED = "key long, n_words long, log10_prob double"
 
@@ -78,11 +79,16 @@ def places(sizes: np.ndarray) -> np.ndarray:
     return (np.arange(int(sizes.sum())) - np.repeat(starts, sizes)).astype(np.int32)
 
 
+def bucket_count(size: int) -> int:
+    """Buckets of each order for so many bytes of text. Their number has no ceiling, so what a task gets has one."""
+    return max(min(MANY, size // 2 // BUCKET_BYTES), size // LARGE_BUCKET) + 1
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk: int = CHUNK) -> DataFrame:
     """key, n_words, log10_prob (sum over the words), score (its mean)."""
-    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = max(4, min(MOST_BUCKETS, size // BUCKET_BYTES + 1).bit_length())
+    rows = docs.select(integer_key(docs, key).alias("key"), F.col(f"`{text}`").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(4, bucket_count(size).bit_length())
 
     def explode(batches: Iterator[pa.RecordBatch], sequences: bool) -> Iterator[pa.RecordBatch]:
         """The chunks' sequences, or their requests."""
