@@ -60,10 +60,38 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2_license_scan that SQL can express: words and places of the base phrases."""
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_url_filters, op4_exact_dedup, op5_warc, op6_ngram_jaccard_join, op7_exact_topk, op8_mixing, op9_toxicity, op10_sentencepiece)
+    f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_url_filters, op4_exact_dedup, op5_warc, op6_ngram_jaccard_join, op7_exact_topk, op8_mixing, op9_toxicity, op10_sentencepiece, license_places)
 }
 
+WORDS_SQL = f"list_filter(regexp_split_to_array(translate(COALESCE(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _places_sql(phrase: str) -> str:
+    """List of the places (from 0) where a phrase's words stand in the list ws."""
+    each = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
+    return f"list_filter(range(0, len(ws)), lambda i: {each})"
+
+
+LICENSES_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, {", ".join(f"{_places_sql(phrase)} AS p{i}" for i, phrase in enumerate(licenses.BASE))} FROM w),
+a AS (SELECT *, {" || ".join(f"p{i}" for i in range(len(licenses.BASE)))} AS spots, list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(licenses.BASE.values()))}], lambda x: x IS NOT NULL) AS found FROM p)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, CAST(list_min(spots) AS BIGINT) AS first_word, CAST(list_max(spots) AS BIGINT) AS last_word, COALESCE(array_to_string(list_sort(list_distinct(found)), ','), '') AS base_labels FROM a"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, UNNEST(sh) AS t FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 90 * (a.n + b.n - COUNT(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN (SELECT doc_id, MIN(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = s.doc_id"""
+
 ORACLES: dict[str, str] = {
     "op1_lm_scoring": f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -80,7 +108,9 @@ s AS (SELECT t.doc_id, CASE
   LEFT JOIN c3 ON u1 = t.a AND u2 = t.b AND u3 = t.c LEFT JOIN c2 h2 ON h2.v1 = t.a AND h2.v2 = t.b)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, ROUND(COALESCE(p, 0), 3) AS log10_prob, CASE WHEN len(ws) > 0 THEN ROUND(p / len(ws), 5) END AS score
 FROM w LEFT JOIN (SELECT doc_id, SUM(p) AS p FROM s GROUP BY doc_id) q ON q.doc_id = w.doc_id""",
+    "license_places": LICENSES_SQL,
     "op3_url_filters": urls.oracle(),
+    "op6_ngram_jaccard_join": JACCARD_SQL,
     "op4_exact_dedup": """
 SELECT doc_id, MAX(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size, doc_id = MAX(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
