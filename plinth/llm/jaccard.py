@@ -48,17 +48,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plinth.llm.batches import slices, tidy
 from plinth.llm.components import components
 from plinth.llm.keys import integer_key
 from plinth.llm.scratch import Scratch
 from plinth.llm.words import Vocabulary, mix, shingle_hashes, words_of
+from plinth.operators.relational import part_starts, sequenced
 
 #: A token in more prefixes than this is frequent.
 RARE = 16
 ROUNDS = 3
+#: A bucket with more than this part of all rows is dealt to many tasks.
+HOT = 1024
 SMALL, BLOCK_TOKENS = 32, 200_000
 #: Pairs of blocks that one task multiplies.
 MEETINGS = 16
@@ -256,8 +259,12 @@ def block_links(open_: DataFrame, sets: DataFrame, scratch: Scratch, at: Thresho
     """Links between different components of the nodes that these buckets (sig, node, n, label, a) connect."""
     groups = components(open_.where("node <> a").select("a", F.col("node").alias("b")).distinct(), scratch, "dense").toDF("node", "cluster")
     held = open_.select("node", "n", "label").distinct().join(groups, "node")
-    order = Window.partitionBy("cluster").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = scratch.keep(held.withColumn("block", F.floor(F.sum("n").over(order) / BLOCK_TOKENS)), "dense-nodes")
+    # sums run over the whole order in range parts, so that a large cluster is no single task; a block is what a cluster has of one stretch of it
+    rows = sequenced(held, [F.col("cluster"), F.col("n"), F.col("node")], "jaccard-order")
+    starts = part_starts(rows.groupBy("_part").agg(F.sum("n").alias("_n")))
+    inside = F.sum("n").over(Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = rows.withColumn("_sum", inside).join(F.broadcast(starts), "_part").withColumn("block", F.floor((F.col("_start") + F.col("_sum")) / BLOCK_TOKENS))
+    held = scratch.keep(held.select("node", "n", "label", "cluster", "block"), "dense-nodes")
     data = held.join(sets.select("node", "tokens"), "node").groupBy("cluster", "block").agg(F.collect_list(F.struct("node", "label", "tokens")).alias("rows"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     data = scratch.keep(data, "dense-blocks")
     ranges = data.select("cluster", "block", "lo", "hi")
@@ -287,6 +294,23 @@ def block_links(open_: DataFrame, sets: DataFrame, scratch: Scratch, at: Thresho
     return rows.select("rows1", "rows2").mapInArrow(tidy(run), "a long, b long")
 
 
+class Hot:
+    """Buckets with more than 1/HOT of all rows: fewer than HOT. Their rows are dealt to ``parts`` salts, and what joins them is there for each salt."""
+
+    def __init__(self, counted: DataFrame, rows: int, parts: int):
+        self.sigs = [r["sig"] for r in counted.where(F.col("_n") > max(1, rows // HOT)).select("sig").collect()]
+        self.parts = parts
+
+    def among(self) -> Column:
+        return F.col("sig").isin(self.sigs) if self.sigs else F.lit(False)
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_salt", F.when(self.among(), F.pmod(F.xxhash64("node"), F.lit(self.parts))).otherwise(F.lit(0)).cast("int"))
+
+    def spread(self, each: DataFrame) -> DataFrame:
+        return each.withColumn("_salt", F.explode(F.when(self.among(), F.sequence(F.lit(0), F.lit(self.parts - 1))).otherwise(F.array(F.lit(0)))))
+
+
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """key, n_shingles, component_id of every row."""
     at, scratch = Threshold(num, den), Scratch(docs.sparkSession, "jaccard")
@@ -300,26 +324,29 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     links = None
     for k in range(ROUNDS + 1):
         open_ = members.join(labels, "node")
-        mixed = open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("a")).where("lo < hi")
-        open_ = scratch.keep(open_.join(mixed.select("sig", "a"), "sig"), f"open{k}")
-        if not open_.limit(1).count():
+        # counted per task before the shuffle; buckets are joined only once those that hold much are known
+        mixed = open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("a"), F.count(F.lit(1)).alias("_n")).where("lo < hi")
+        mixed = scratch.keep(mixed.select("sig", "a", "_n"), f"mixed{k}")
+        total = mixed.agg(F.sum("_n")).first()[0]
+        if not total:
             break
+        hot = Hot(mixed, total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        open_ = scratch.keep(hot.deal(open_).join(hot.spread(mixed.select("sig", "a")), ["sig", "_salt"]), f"open{k}")
         close = (at.den * F.col("n") >= at.num * F.col("bn")) & (at.den * F.col("bn") >= at.num * F.col("n"))
         if k < ROUNDS:
             heads = open_.where("node = a").select("sig", F.col("n").alias("bn"), F.col("label").alias("bl")).distinct()
-            pairs = open_.join(heads, "sig").where(close & (F.col("label") != F.col("bl"))).select("a", F.col("node").alias("b"))
+            pairs = open_.join(hot.spread(heads), ["sig", "_salt"]).where(close & (F.col("label") != F.col("bl"))).select("a", F.col("node").alias("b"))
             members = open_.where("node <> a").select("sig", "node", "n")
         else:
-            sizes = open_.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"))
-            large = scratch.keep(sizes.where(F.col("_n") > SMALL).select("sig"), "large")
-            few = open_.join(large, "sig", "left_anti").drop("a")
+            large = scratch.keep(hot.spread(mixed.where(F.col("_n") > SMALL).select("sig")), "large")
+            few = open_.join(large, ["sig", "_salt"], "left_anti").drop("a", "_salt")
             other = few.select("sig", F.col("node").alias("b"), F.col("label").alias("bl"), F.col("n").alias("bn"))
             pairs = few.withColumnRenamed("node", "a").join(other, "sig").where(close & F.expr("a < b and label <> bl")).select("a", "b")
             if large.limit(1).count():
-                dense = scratch.keep(block_links(open_.join(large, "sig"), sets, scratch, at), "dense")
+                dense = scratch.keep(block_links(open_.join(large, ["sig", "_salt"]).drop("_salt"), sets, scratch, at), "dense")
                 links = dense if links is None else links.unionByName(dense)
         found = scratch.keep(verified(scratch.keep(pairs.distinct(), f"pairs{k}"), nodes, sets, at), f"links{k}")
-        scratch.drop(f"pairs{k}", f"open{k}" if k == ROUNDS else "none")
+        scratch.drop(f"pairs{k}", f"mixed{k}", f"open{k}" if k == ROUNDS else "none")
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
         elif k < ROUNDS or links is None:
