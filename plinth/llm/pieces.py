@@ -45,6 +45,7 @@ import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 MARK = "▁"
-MEMORY = 150_000
+MEMORY = 250_000
+#: Arcs between last pieces that a worker remembers at most.
+ARCS = 450_000
 INFINITY = math.inf
 
 
@@ -99,8 +102,6 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
 START, BODY, GAP = 0, 1, 2
 #: Stands before a stretch that begins a text; no text holds it.
 FIRST = "\ud800"
-#: Bits of a character's number in the key of an arc.
-CHARACTER = 21
 
 
 class Normaliser:
@@ -117,9 +118,13 @@ class Normaliser:
             self.arcs |= {(START, True): (START, "", False), (BODY, True): (GAP, "", False), (GAP, True): (GAP, "", False), (GAP, False): (BODY, mark, True)}
         else:
             self.arcs |= {(START, True): (BODY, begin + mark, False), (BODY, True): (BODY, mark, False)}
+        #: A body whose arcs all return to it writes each character as it is or by this map.
+        self.map = None if self.squeeze else {32: mark}
 
     def compose(self, text: str, state: int = START) -> str:
         """What the machine writes as it reads a text from a state, which ends with the text or before a space. Where spaces are squeezed, marks at the end go too."""
+        if state == BODY and self.map:
+            return text.translate(self.map)
         out = []
         for c in text:
             state, before, copied = self.arcs[state, c == " "]
@@ -127,26 +132,30 @@ class Normaliser:
         text = "".join(out)
         return text.rstrip(self.mark) if self.squeeze else text
 
+    def keeps(self, text: str) -> bool:
+        """Whether ``invert`` gives back what a text becomes: without squeezing, unless it holds marks of its own."""
+        return self.invert(self.compose(text)) == text if self.squeeze else not self.escape or MARK not in text
+
     def invert(self, text: str) -> str:
         text = text.replace(MARK, " ") if self.escape else text
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 class Lexicon:
-    """Trie of the pieces. arcs: state and character in one number -> state; pieces: the piece complete at each state, or -1."""
+    """Trie of the pieces, read from their ends. A state is its arcs (character -> state) and the piece complete there, or -1."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.arcs: dict[int, int] = {}
-        self.pieces = [-1]
-        for text, i in pieces.items():
-            state = 0
-            for c in reversed(text):
-                at = state << CHARACTER | ord(c)
-                state = self.arcs.get(at, -1)
-                if state < 0:
-                    state = self.arcs[at] = len(self.pieces)
-                    self.pieces.append(-1)
-            self.pieces[state] = i
+        self.root: tuple[dict[str, tuple], int] = ({}, -1)
+        self.states = 1
+        for text, i in sorted(pieces.items(), key=lambda p: len(p[0])):  # a state is made before those beyond it
+            arcs = self.root[0]
+            for c in text[:0:-1]:
+                if c not in arcs:
+                    arcs[c] = ({}, -1)
+                    self.states += 1
+                arcs = arcs[c][0]
+            self.states += text[0] not in arcs
+            arcs[text[0]] = (arcs[text[0]][0] if text[0] in arcs else {}, i)
 
 
 class Transducer:
@@ -180,8 +189,10 @@ class Transducer:
         self.spelled = [spell.get(k, str.encode)(p) for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._made: dict[str, tuple[str, str] | None] = {}
         self._apart: dict[int, float] = {}
-        self._memory: dict[str, tuple[bytes, bytes]] = {}
-        self._older: dict[str, tuple[bytes, bytes]] = {}
+        #: Ids of a stretch as 32-bit integers, the younger and the older generation; stretches that do not decode to their normal form.
+        self._memory: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._lossy: set[str] = set()
         if self.bpe:  # only pieces that merges can make are ever emitted
             self.lexicon = Lexicon({p: i for p, i in self.known.items() if len(p) == 1 or self.halves(p)})
             if any(max(map(self.rank, h)) > self.rank(p) for p, h in self._made.items() if h):
@@ -193,7 +204,7 @@ class Transducer:
             self.fallback = 10.0 - min((self.scores[i] for i in self.known.values()), default=0.0)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_apart": {}, "_memory": {}, "_older": {}, "_made": {}}
+        return self.__dict__ | {"_apart": {}, "_memory": {}, "_older": {}, "_lossy": set(), "_made": {}}
 
     # -- the machine of last pieces, for BPE models
 
@@ -247,10 +258,10 @@ class Transducer:
 
     def between(self, left: int, right: int) -> float:
         """Weight of the arc from one last piece to the next: 0 or infinity."""
-        key = left << 24 | right + (1 << CHARACTER)
+        key = left << 24 | right + 2097152  # both fit: characters are over -2**21, pieces under 2**24 - 2**21
         found = self._apart.get(key)
         if found is None:
-            if len(self._apart) > 3 * MEMORY:
+            if len(self._apart) > ARCS:
                 self._apart.clear()
             found = self._apart[key] = 0.0 if self.apart(self.name(left), self.name(right)) else INFINITY
         return found
@@ -264,20 +275,16 @@ class Transducer:
         that are already composed, and get those of the others.
         """
         least, last = ([0.0], [0]) if least is None else (least, last)
-        arcs, emits, weights, between = self.lexicon.arcs, self.lexicon.pieces, self.weights, self.between
-        known = self._apart.get
+        root, weights, between, known = self.lexicon.root[0], self.weights, self.between, self._apart.get
         bpe, bound = self.bpe, 0.0 if self.bpe else -INFINITY  # no BPE path weighs less than 0
         for end in range(len(least), len(text) + 1):
-            best, arc = INFINITY, 0
-            state, at, single = 0, end, -1
+            best, arc, arcs, at = INFINITY, 0, root, end
             while at:
                 at -= 1
-                state = arcs.get(state << CHARACTER | ord(text[at]))
+                state = arcs.get(text[at])
                 if state is None:
                     break
-                p = emits[state]
-                if at == end - 1:
-                    single = p
+                arcs, p = state
                 if p < 0:
                     continue
                 w = least[at] + weights[p]
@@ -290,7 +297,7 @@ class Transducer:
                     best, arc = w, p
                     if w <= bound:
                         break
-            if single < 0 and best > bound:  # no piece reads this character alone
+            if best > bound and (text[end - 1] not in root or root[text[end - 1]][1] < 0):  # no piece reads this character alone
                 c, w = ~ord(text[end - 1]), least[end - 1] + self.fallback
                 if bpe and end > 1:
                     w += between(last[end - 1], c)
@@ -324,49 +331,50 @@ class Transducer:
         found[0] = FIRST + found[0]
         return found
 
-    def remembered(self, stretch: str) -> tuple[bytes, bytes]:
-        """Ids of a stretch as 32-bit integers, and the bytes that they decode to."""
-        found = self._memory.get(stretch)
-        if found is None:
-            found = self._older.get(stretch) or self.made(stretch, *([0.0], [0]))
-            self.remember(stretch, found)
-        return found
-
-    def remember(self, stretch: str, found: tuple[bytes, bytes]) -> None:
-        if len(self._memory) >= MEMORY:
-            self._older = self._memory
-            self._memory = {}
-        self._memory[stretch] = found
-
     def normal(self, stretch: str) -> str:
         return self.normaliser.compose(stretch[1:], START) if stretch[:1] == FIRST else self.normaliser.compose(stretch, BODY)
 
-    def made(self, stretch: str, least: list[float], last: list[int]) -> tuple[bytes, bytes]:
-        ids = self.path(self.normal(stretch), least, last)
-        return struct.pack(f"<{len(ids)}i", *ids), b"".join([self.spelled[i] for i in ids])
-
-    def compose(self, stretches: list[str]) -> None:
-        """Composes those not remembered, in the order of their normal forms: what neighbours begin with in common is composed once."""
+    def compose(self, stretches: set[str]) -> dict[str, bytes]:
+        """The ids of each stretch. Those not remembered are composed in sorted order: what neighbours begin with in common is composed once."""
         memory, older = self._memory, self._older
-        new = sorted((self.normal(s), s) for s in {s for s in stretches if s not in memory and s not in older})
-        before, least, last = "", [0.0], [0]
-        for text, s in new:
+        out, new = {}, []
+        for s in stretches:
+            found = memory.get(s)
+            if found is None:
+                found = older.get(s)
+                if found is None:
+                    new.append(s)
+                    continue
+                memory[s] = found
+            out[s] = found
+        before, least, last, spelled = "", [0.0], [0], self.spelled
+        for s in sorted(new):
+            text = self.normal(s)
             same, most = 0, min(len(before), len(text))
             while same < most and before[same] == text[same]:
                 same += 1
             del least[same + 1 :], last[same + 1 :]
             ids = self.path(text, least, last)
-            self.remember(s, (struct.pack(f"<{len(ids)}i", *ids), b"".join([self.spelled[i] for i in ids])))
+            out[s] = memory[s] = array("i", ids).tobytes()
+            if b"".join([spelled[i] for i in ids]) != text.encode("utf-8", "replace"):
+                self._lossy.add(s)
             before = text
+        if len(memory) >= MEMORY:
+            self._older, self._memory = memory, {}
+            self._lossy &= memory.keys()
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([self.remembered(s)[0] for s in self.stretches(text)]), "<i4").tolist()
+        found = self.stretches(text)
+        ids = self.compose(set(found))
+        return np.frombuffer(b"".join([ids[s] for s in found]), "<i4").tolist()
 
-    def read_back(self, spelled: bytes) -> str:
-        return self.normaliser.invert(spelled.decode("utf-8", "replace"))
+    def returns(self, text: str, stretches: list[str]) -> bool:
+        """Whether decoding gives the text back: every stretch decodes to its normal form, and the normaliser can be inverted on the text. The stretches have just been composed."""
+        return self._lossy.isdisjoint(stretches) and self.normaliser.keeps(text)
 
     def decode(self, ids: list[int]) -> str:
-        return self.read_back(b"".join([self.spelled[i] for i in ids]))
+        return self.normaliser.invert(b"".join([self.spelled[i] for i in ids]).decode("utf-8", "replace"))
 
 
 def model_bytes(spark: SparkSession, path: str) -> bytes:
@@ -404,16 +412,13 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         fallback = np.array([k == BYTE for k in machine.kinds])
         texts = b.column("text").to_pylist()
         found = [None if t is None else machine.stretches(t) for t in texts]
-        machine.compose([s for f in found if f for s in f])
-        get, remembered = machine._memory.get, machine.remembered
+        get = machine.compose(set().union(*[f for f in found if f])).__getitem__
         made, packed = [], []
         for t, f in zip(texts, found, strict=True):
-            parts = [get(s) or remembered(s) for s in f] if f else []
-            data = b"".join([p[0] for p in parts])
+            data = b"".join(map(get, f)) if f else b""
             ids = np.frombuffer(data, "<i4")
             packed.append(data)
-            back = None if t is None or not verify else machine.read_back(b"".join([p[1] for p in parts])) == t
-            made.append((len(ids), int(fallback[ids].sum()), zlib.crc32(data), back, t is None))
+            made.append((len(ids), int(fallback[ids].sum()), zlib.crc32(data), None if t is None or not verify else machine.returns(t, f), t is None))
         columns = [pa.array(c, k[2]) for c, k in zip(zip(*made, strict=True) if made else [[]] * 4, kinds[:4], strict=False)]
         if keep_ids:
             ends = pa.array(np.cumsum([0, *(m[0] for m in made)]), pa.int32())
