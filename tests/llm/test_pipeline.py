@@ -6,6 +6,7 @@ import itertools
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from plinth.llm import jaccard, mixing, naming, pieces, queries, toxicity
 
@@ -123,3 +124,53 @@ def test_toxicity_stage_drops_by_each_score(spark, sf_dir):
     rows = docs.select("doc_id", "text").collect()
     want = sorted(r["doc_id"] for r in rows if toxicity.score_texts(net, [r["text"]])[0] < toxicity.THRESHOLD)
     assert ids(corpus_pipeline.drop_toxic(spark, docs, sf_dir)) == want
+
+
+CLASHING = ["key", "n", "row", "_row", "_digest", "_dropped0", "level", "name", "_key", "_size", "_place", "_pattern", "_copies", "_nth", "fp", "node", "sig", "score", "predicted", "kept", "row_id", "_part", "_local", "_id", "size", "target", "_p", "rest"]
+
+
+@pytest.mark.parametrize("rows", [[], ODD, [(1, None), (1, None), (None, None)], [(None, "one"), (None, "one"), (2, ""), (3, "one")]], ids=["empty", "odd", "no text", "ties"])
+def test_every_stage_on_odd_tables(spark, sf_dir, tmp_path, rows):
+    """Empty tables, nulls in every column, ties, repeated rows and extra columns with the names that operators use."""
+    docs = spark.createDataFrame([(k, t, None if i % 3 else "s", None) for i, (k, t) in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{i}")
+        out = spark.read.parquet(f"{tmp_path}/{i}")
+        if name == "encoding":
+            assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter(r["doc_id"] for r in docs.collect())
+            break
+        assert out.columns == docs.columns
+        assert out.where(" OR ".join(f"`{c}` <> 'own {c}'" for c in CLASHING)).count() == 0
+        if name == "toxicity":
+            assert out.count() == len(rows)
+        docs = out
+    assert docs.select("text").na.fill("").distinct().count() <= len({t or "" for _, t in rows})
+
+
+def test_whole_pipeline_against_the_stages_by_hand(spark, tmp_path):
+    """run() on a corpus whose decisions can be told beforehand: what is toxic, equal or near goes; all else is encoded as often as the mixture takes it."""
+    import random
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = random.Random(6)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = {i: plain(40) for i in range(400)}
+    labels = [(i, int(i % 8 == 0)) for i in range(400)]
+    for i, y in labels:
+        if y:
+            texts[i] += " qwzrk qwzrks"
+    rows = [*texts.items(), (500, texts[1]), (501, texts[3]), (502, texts[5] + " more"), (503, None), (504, "")]
+    spark.createDataFrame([(k, t, "ab"[k % 2]) for k, t in rows], "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = collections.Counter((r["doc_id"], tuple(r["ids"] or [])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    want = {k: t or "" for k, t in rows if "qwzrk" not in (t or "")}
+    want = {k: want[k] for k in {t: k for k, t in sorted(want.items())}.values()}  # the largest id of equal texts
+    want = {k: t for k, t in want.items() if k != 502}  # near 5, whose id is smaller
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    # the two sources weigh 3 and 1 and stop at twice their size
+    sizes = {s: sum(len(t.split()) for k, t in want.items() if "ab"[k % 2] == s) for s in "ab"}
+    goal = mixing.targets(sizes)
+    assert set(got) <= {(k, tuple(library.encode(t))) for k, t in want.items()} and max(got.values()) <= 2
+    for s in "ab":
+        assert 0 <= goal[s] - sum(n * len(want[k].split()) for (k, _), n in got.items() if "ab"[k % 2] == s) <= 41
