@@ -1,6 +1,6 @@
 """Arrow batches in Python workers.
 
-Spark's batches hold 10,000 rows, which for long texts is more than a worker should expand at once. Workers are used again
+Spark's batches hold 10,000 rows, which for long texts is more than a worker should get or expand at once. Workers are used again
 and wait idle beside tasks that run no Python, so they return what a task took to the system when it ends.
 """
 
@@ -13,6 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Bytes of an Arrow batch, but for single longer rows.
+BATCH_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -52,3 +56,9 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             give_back()
 
     return tidied
+
+
+def through(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``rows.mapInArrow(run)`` with batches cut by bytes: each is there twice, in the JVM beside its heap and in the worker. Sets the session's limit, which is read when the job runs."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows.mapInArrow(tidy(run), schema)

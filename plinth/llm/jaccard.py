@@ -50,7 +50,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plinth.llm.batches import slices, tidy
+from plinth.llm.batches import slices, through, tidy
 from plinth.llm.components import components
 from plinth.llm.keys import integer_key
 from plinth.llm.scratch import Scratch
@@ -64,7 +64,7 @@ ROUNDS = 3
 HOT = 1024
 SMALL, BLOCK_TOKENS = 32, 200_000
 #: Pairs of blocks that one task multiplies.
-MEETINGS = 16
+MEETINGS = 8
 #: Keys that are sent to every executor at most (8 bytes each); beyond it they are joined.
 MOST_SENT = 2_000_000
 
@@ -120,7 +120,7 @@ def documents(docs: DataFrame, key: str, text: str, n: int, at: Threshold) -> Da
             cut = [s[: at.prefix(len(s), at.level(len(s)) + 1)] for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), lists(cut)], names=["key", "n", "fp", "prefix"])
 
-    return rows.mapInArrow(tidy(run), "key long, n long, fp binary, prefix array<long>")
+    return through(rows, run, "key long, n long, fp binary, prefix array<long>")
 
 
 def survivors(nodes: DataFrame, scratch: Scratch, at: Threshold) -> DataFrame:
@@ -179,7 +179,7 @@ def index(sets: DataFrame, scratch: Scratch, at: Threshold) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes_out)), pa.array(np.concatenate(sizes))], names=["sig", "node", "n"])
 
-    found = scratch.keep(held.mapInArrow(tidy(run), "sig long, node long, n long"), "signatures")
+    found = scratch.keep(through(held, run, "sig long, node long, n long"), "signatures")
     often = found.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sig")
     return scratch.keep(found.join(often, "sig"), "index")
 
@@ -195,7 +195,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int, s
         for _, sets in text_sets(batches, n):
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), lists(sets)], names=["fp", "tokens"])
 
-    made = rows.mapInArrow(tidy(run), "fp binary, tokens array<long>").join(wanted.select("fp", "node", "n"), "fp")
+    made = through(rows, run, "fp binary, tokens array<long>").join(wanted.select("fp", "node", "n"), "fp")
     return scratch.keep(made.select("node", "n", "tokens").dropDuplicates(["node"]), "sets")
 
 
@@ -291,7 +291,7 @@ def block_links(open_: DataFrame, sets: DataFrame, scratch: Scratch, at: Thresho
                 found = merging(list(zip(na[x].tolist(), nb[y].tolist(), la[x].tolist(), lb[y].tolist(), strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return rows.select("rows1", "rows2").mapInArrow(tidy(run), "a long, b long")
+    return through(rows.select("rows1", "rows2"), run, "a long, b long")
 
 
 class Hot:

@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plinth.llm.batches import slices
+from plinth.llm.batches import slices, through
 
 # Phrase and label
 BASE = {
@@ -206,4 +206,4 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", base
             expressions = pa.array([[{"text": e.text, "identifiers": list(e.identifiers), "exceptions": list(e.exceptions), "accepted": e.accepted} for e in x] for x in found[8]], EXPRESSIONS)
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, t) for c, t in zip(found[:7], TYPES, strict=True)), spans, expressions], names=schema.names)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return through(rows, run, schema).withColumnRenamed("key", key)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.batches import slices
+from plinth.llm.batches import slices, through
 from plinth.llm.keys import integer_key
 from plinth.llm.words import Vocabulary, ngram_hashes, words_of
 
@@ -183,10 +183,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
         sums = np.bincount(owner, weights=score, minlength=len(sizes))
         return pa.table([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums)], names=["key", "n_words", "log10_prob"])
 
-    asked = rows.mapInArrow(lambda batches: explode(batches, False), PACKED)
+    asked = through(rows, lambda batches: explode(batches, False), PACKED)
     answered = asked.groupBy("group").applyInArrow(join, PACKED)
     # sequences are made anew, which costs a second reading and spares them the way through the buckets
-    held = rows.mapInArrow(lambda batches: explode(batches, True), PACKED)
+    held = through(rows, lambda batches: explode(batches, True), PACKED)
     scored = answered.unionByName(held).groupBy("chunk").applyInArrow(look_up, SCORED)
     return scored.select(F.col("key").alias(key), "n_words", "log10_prob", F.when(F.col("n_words") > 0, F.col("log10_prob") / F.col("n_words")).alias("score"))
 

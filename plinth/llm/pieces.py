@@ -53,7 +53,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plinth.llm.batches import slices, tidy
+from plinth.llm.batches import slices, through
 
 # Fixed values of the model format: field numbers and piece kinds
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
@@ -426,7 +426,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
             columns.append(pc.if_else(pa.array([m[4] for m in made], pa.bool_()), pa.scalar(None, lists.type), lists))
         return pa.RecordBatch.from_arrays([b.column("key"), *columns], names=schema.names)
 
-    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
+    return through(rows, run, schema).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -441,4 +441,4 @@ def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str =
             texts = [None if x is None else machine.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
+    return through(rows, run, schema).withColumnRenamed("key", key)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.batches import bounded, tidy
+from plinth.llm.batches import bounded, through
 from plinth.llm.gru import NGRAM_ROWS, WORD_ROWS, Adam, Network, Spelling, sigmoid, words_of
 
 WIDTH, STRIDE = 48, 32
@@ -180,7 +180,7 @@ def score_documents(docs: DataFrame, network: Network | None, key: str = "doc_id
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(scores)], names=["key", "score"])
 
     kind = dict(rows.dtypes)["key"]
-    scored = rows.mapInArrow(tidy(run), f"key {kind}, score double")
+    scored = through(rows, run, f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -197,4 +197,4 @@ def clean_documents(docs: DataFrame, network: Network | None, text: str = "text"
         for part in bounded(batches, at):
             yield part.filter(pa.array(score_texts(net, part.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return through(docs, run, docs.schema)

@@ -29,6 +29,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from plinth.llm.batches import through
 from plinth.llm.keys import integer_key
 from plinth.llm.scratch import Scratch
 
@@ -111,7 +112,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, key: str = "page_id", url
         if out is not None:
             out.close()
 
-    return scratch.keep(dealt.select("key", "url", "payload", "digest", "keeper", "revisit").mapInArrow(run, INDEX), "index")
+    return scratch.keep(through(dealt.select("key", "url", "payload", "digest", "keeper", "revisit"), run, INDEX), "index")
 
 
 def coalesced(entries: list[tuple[str, int, int]], gap: int = MAX_GAP, most: int = MAX_READ) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
