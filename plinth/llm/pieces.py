@@ -61,9 +61,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 MARK = "▁"
-MEMORY = 250_000
+MEMORY = 200_000
 #: Arcs between last pieces that a worker remembers at most.
-ARCS = 450_000
+ARCS = 300_000
 INFINITY = math.inf
 
 
