@@ -18,8 +18,9 @@ Counts include the document's own, which is why min_count is 2.
 
 Null and empty texts have no words, log10 0 and a null score. Rows are scored
 one by one, repeated rows and null keys included. Other columns are not
-carried. An empty table gives an empty result. The input must come in the same
-order to a repeated task, as files do; if it does not, the job fails.
+carried. An empty table gives an empty result. Input that is
+not read from files as it is, and so may come in another order to a repeated
+task, is kept first.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plinth.llm.batches import slices, through
 from plinth.llm.keys import integer_key
+from plinth.llm.scratch import Scratch, steady
 from plinth.llm.words import Vocabulary, ngram_hashes, words_of
 
 CHUNK = 4_000_000
@@ -86,7 +88,7 @@ def bucket_count(size: int) -> int:
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk: int = CHUNK) -> DataFrame:
     """key, n_words, log10_prob (sum over the words), score (its mean)."""
-    rows = docs.select(integer_key(docs, key).alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = steady(docs.select(integer_key(docs, key).alias("key"), F.col(f"`{text}`").alias("text")), Scratch(docs.sparkSession, "lmscore"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(4, bucket_count(size).bit_length())
 

@@ -15,16 +15,16 @@ of texts with more than one block.
 
 Null texts count as empty, and all empty texts are equal. Rows with a null key
 take part; a group of only such rows keeps the null key. Repeated rows each
-appear, and exactly one row of each group is marked kept. An empty table gives an empty result. The input must come in the same
-order to a repeated task, as files do. Only key and text are read; other
-columns are not carried.
+appear, and exactly one row of each group is marked kept. An empty table gives an empty result. Input that is not read from files
+as it is, and so may come in another order to a repeated task, is kept first.
+Only key and text are read; other columns are not carried.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plinth.llm.scratch import Scratch
+from plinth.llm.scratch import Scratch, steady
 
 BLOCK = 4096
 HOT = 1024
@@ -73,8 +73,9 @@ def named_blocks(docs: DataFrame, text: Column, size: int, carried: list[Column]
 def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> tuple[DataFrame, Scratch]:
     """row, key, text_sha256, level, name: one row per input row, which ``row`` numbers."""
     scratch = Scratch(docs.sparkSession, "naming")
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    carried = [F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.sha2(F.encode(body, "UTF-8"), 256).alias("text_sha256"), F.ceil(F.length(body) / block).alias("n")]
+    docs = steady(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), scratch)
+    body = F.coalesce("text", F.lit(""))
+    carried = [F.monotonically_increasing_id().alias("row"), F.col("key"), F.sha2(F.encode(body, "UTF-8"), 256).alias("text_sha256"), F.ceil(F.length(body) / block).alias("n")]
     level = named_blocks(docs, body, block, carried, scratch)
     done = [level.where("n <= 1").select("row", "key", "text_sha256", F.lit(0).alias("level"), "name")]
     rest, k = level.where("n > 1"), 0

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import batches, jaccard, licenses, lmscore, mixing, naming, pieces, queries, topk, toxicity, urls, warc
 from plinth.llm.gru import Network, Spelling
+from plinth.llm.scratch import Scratch, steady
 from plinth.llm.words import words_of
 
 DOCS = "doc_id long, text string, key string, n long, node long, row long"
@@ -127,6 +128,21 @@ def test_exact_duplicates(spark, corpus, block):
     assert len(kept) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
 
 
+def test_input_that_may_change_its_order_is_kept(spark, corpus, tmp_path):
+    rows = frame(spark, corpus)
+    rows.write.parquet(f"{tmp_path}/rows")
+    files = spark.read.parquet(f"{tmp_path}/rows").where("n = 1").select("doc_id", "text")
+    scratch = Scratch(spark, "steady")
+    assert steady(files, scratch) is files
+    for moved in (files.repartition(3), files.orderBy("text"), files.limit(9), files.sample(0.5), files.join(files.select("doc_id").distinct(), "doc_id")):
+        assert all("/input/" in f for f in steady(moved, scratch).inputFiles())
+    as_rows = lambda df: collections.Counter(map(tuple, df.collect()))
+    moved = rows.repartition(5, "text")
+    assert as_rows(naming.exact_duplicates(moved, block=7)) == as_rows(naming.exact_duplicates(rows, block=7))
+    rounded = lambda df: as_rows(lmscore.score_documents(df).select("doc_id", "n_words", F.round("log10_prob", 6)))
+    assert rounded(moved) == rounded(rows)
+
+
 def test_hot_blocks_have_one_name(spark):
     rows = [(i, "hot" * 100) for i in range(3000)] + [(5000 + i, f"cold {i}") for i in range(50)]
     got = naming.exact_duplicates(frame(spark, rows), block=64).groupBy("group_size").count().collect()
