@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def build(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), 1))
-    return df.select(F.explode(tokens).alias("token"), F.col(row_id).alias("row_id"))
+    tokens = F.array_distinct(F.split(F.lower(F.col(text)), "[^a-z0-9]+"))  # empty before a leading or after a trailing separator
+    return df.select(F.explode(F.array_remove(tokens, "")).alias("token"), F.col(row_id).alias("row_id"))
 
 
 def search(postings: DataFrame, term: str) -> DataFrame:
