@@ -11,6 +11,10 @@ from plinth.llm.scratch import Scratch
 from plinth.operators.relational import with_position
 
 
+#: Bounds of a worker's memory in encoding; every text is encoded whole whatever they are.
+ENCODING = {"memory": 60_000, "arcs": 120_000, "most": 512 << 10}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on the labelled ones of them, scores under the threshold. Those without words score 0 and stay; without labels of both kinds all stay."""
     return toxicity.clean_documents(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -60,8 +64,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, counts, checksum and ids of every row; a null text has null ids."""
-    return pieces.encode(docs, PIECE_MODEL)
+    """doc_id, counts, checksum and ids of every row; a null text has null ids. Workers remember less than by default: the JVM beside them still holds the heap that the stages before took."""
+    return pieces.encode(docs, PIECE_MODEL, **ENCODING)
 
 
 STAGES = [

@@ -38,6 +38,8 @@ BINS = 1 << 14
 SEED = 17
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_COPIES = 1.5, 2
+#: Of each pattern: its first source's size and target, whole passes, words of the last one.
+PER = pa.schema([("_p", pa.list_(pa.string())), ("source_size", pa.int64()), ("target", pa.float64()), ("passes", pa.int64()), ("rest", pa.int64())])
 #: Of the sizes beyond a cut: all documents from lo to hi (n is null), or n of those of one size.
 SPANS = "_p array<string>, spans array<struct<lo bigint, hi bigint, n bigint>>"
 
@@ -145,7 +147,9 @@ def plan(sized: DataFrame, scratch: Scratch, weights: Sequence[float] = WEIGHTS,
     wanted = targets(sizes, weights, share, most)
     given = route(totals, wanted, most)
     rows = [(list(p), sizes[p[0]] if p else 0, float(wanted[p[0]]) if p else 0.0, given[p] // n if n else 0, given[p] % n if n else 0) for p, n in totals.items()]
-    per = spark.createDataFrame(rows, "_p array<string>, source_size bigint, target double, passes bigint, rest bigint")
+    # by Arrow: rows from a list would take Python workers of another kind, which stay beside those of later stages
+    table = pa.Table.from_pylist([dict(zip(PER.names, r, strict=True)) for r in rows], schema=PER)
+    per = spark.createDataFrame(table)
     # the bin in which the last pass ends
     before = F.sum("_n").over(Window.partitionBy("_pattern").orderBy("_bin")) - F.col("_n")
     cut = bins.withColumn("_before", before).join(F.broadcast(per), F.col("_pattern") == F.col("_p")).where((F.col("rest") > 0) & (F.col("_before") <= F.col("rest")) & (F.col("_before") + F.col("_n") > F.col("rest")))

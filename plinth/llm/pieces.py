@@ -29,7 +29,8 @@ No piece holds a space mark after another character, so a text falls into
 independent stretches (spaces or marks, then other characters), between which
 the normaliser is in its body state; each distinct stretch is composed once and
 remembered by its worker: two generations of MEMORY stretches, of which those
-in use pass to the younger.
+in use pass to the younger. Where workers share an executor with a heap that
+earlier steps have filled, callers let them remember less.
 
 Null texts encode to null ids; empty texts to none. Decoding inverts exactly
 whatever the normaliser keeps. Rows are handled one by one; null keys and
@@ -53,7 +54,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plinth.llm.batches import slices, through
+from plinth.llm.batches import BATCH_BYTES, bounded, slices, through
 
 # Fixed values of the model format: field numbers and piece kinds
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
@@ -161,7 +162,8 @@ class Lexicon:
 class Transducer:
     """The compiled model."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, memory: int = MEMORY, arcs: int = ARCS):
+        self.memory, self.arcs = memory, arcs
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -261,7 +263,7 @@ class Transducer:
         key = left << 24 | right + 2097152  # both fit: characters are over -2**21, pieces under 2**24 - 2**21
         found = self._apart.get(key)
         if found is None:
-            if len(self._apart) > ARCS:
+            if len(self._apart) >= self.arcs:
                 self._apart.clear()
             found = self._apart[key] = 0.0 if self.apart(self.name(left), self.name(right)) else INFINITY
         return found
@@ -359,7 +361,7 @@ class Transducer:
             if b"".join([spelled[i] for i in ids]) != text.encode("utf-8", "replace"):
                 self._lossy.add(s)
             before = text
-        if len(memory) >= MEMORY:
+        if len(memory) >= self.memory:
             self._older, self._memory = memory, {}
             self._lossy &= memory.keys()
         return out
@@ -385,11 +387,13 @@ def model_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", verify: bool = True, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", verify: bool = True, keep_ids: bool = True, memory: int = MEMORY, arcs: int = ARCS, most: int = BATCH_BYTES) -> DataFrame:
     """key, n_pieces, n_bytes (pieces of the fallback), ids_crc (of the ids as little-endian 32-bit integers), round_trip, ids.
 
     ``round_trip`` says whether decoding gives the text back. The model goes to
-    executors with the job: a few MB, whatever the data.
+    executors with the job: a few MB, whatever the data. A worker remembers two
+    generations of ``memory`` stretches and ``arcs`` arcs, and takes texts of
+    ``most`` bytes at once; results don't depend on these.
     """
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kinds = [("n_pieces", T.LongType(), pa.int64()), ("n_bytes", T.LongType(), pa.int64()), ("ids_crc", T.LongType(), pa.int64()), ("round_trip", T.BooleanType(), pa.bool_())]
@@ -397,13 +401,13 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         kinds.append(("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *(T.StructField(n, t) for n, t, _ in kinds)])
     # a worker keeps the value of a broadcast from task to task, and with it what it has composed
-    model = docs.sparkSession.sparkContext.broadcast(Transducer(model_bytes(docs.sparkSession, model_path)))
+    model = docs.sparkSession.sparkContext.broadcast(Transducer(model_bytes(docs.sparkSession, model_path), memory, arcs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.value
         gc.disable()  # nothing here makes cycles, and its passes over the remembered stretches would cost much
         try:
-            for b in slices(batches):
+            for b in bounded(batches, 1, most, rows=500):
                 yield one(machine, b)
         finally:
             gc.enable()

@@ -174,3 +174,25 @@ def test_whole_pipeline_against_the_stages_by_hand(spark, tmp_path):
     assert set(got) <= {(k, tuple(library.encode(t))) for k, t in want.items()} and max(got.values()) <= 2
     for s in "ab":
         assert 0 <= goal[s] - sum(n * len(want[k].split()) for (k, _), n in got.items() if "ab"[k % 2] == s) <= 41
+
+
+def test_mixing_takes_no_python_rows(spark, stages, monkeypatch):
+    """A list sent as an RDD takes workers of another kind, which stay in memory beside those of the encoding."""
+    want = sorted(map(repr, stages[3][1].select("doc_id").collect()))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert sorted(map(repr, mixing.copies(stages[3][0]).select("doc_id").collect())) == want
+
+
+def test_encoding_remembers_within_its_bounds(spark, stages):
+    """Workers stay within the stage's bounds, and ids don't depend on them."""
+    bounds = corpus_pipeline.ENCODING
+    assert bounds["memory"] <= 60_000 and bounds["arcs"] <= 120_000
+    with open(queries.PIECE_MODEL, "rb") as f:
+        model = f.read()
+    small, whole = pieces.Transducer(model, 50, 20), pieces.Transducer(model)
+    for text in [r["text"] for r in stages[4][0].select("text").limit(60).collect()]:
+        assert small.encode(text or "") == whole.encode(text or "")
+        assert len(small._memory) < 50 and len(small._apart) <= 20
+    plain = pieces.encode(stages[4][0], queries.PIECE_MODEL)
+    tight = pieces.encode(stages[4][0], queries.PIECE_MODEL, memory=50, arcs=20, most=3000)
+    assert sorted(map(repr, tight.collect())) == sorted(map(repr, plain.collect()))
