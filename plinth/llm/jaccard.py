@@ -132,7 +132,9 @@ def survivors(nodes: DataFrame, scratch: Scratch, at: Threshold) -> DataFrame:
             keep = [m >= at.least_shared(n) for m, n in zip(b.column("m").to_pylist(), b.column("n").to_pylist(), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_())).select(["node", "rep", "fp", "n"])
 
-    return scratch.keep(counts.join(nodes.select("node", "rep", "fp", "n"), "node").mapInArrow(tidy(enough), "node long, rep long, fp binary, n long"), "survivors")
+    left = scratch.keep(counts.join(nodes.select("node", "rep", "fp", "n"), "node").mapInArrow(tidy(enough), "node long, rep long, fp binary, n long"), "survivors")
+    scratch.drop("shared")
+    return left
 
 
 def index(sets: DataFrame, scratch: Scratch, at: Threshold) -> DataFrame:
@@ -178,8 +180,11 @@ def index(sets: DataFrame, scratch: Scratch, at: Threshold) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes_out)), pa.array(np.concatenate(sizes))], names=["sig", "node", "n"])
 
     found = scratch.keep(through(held, run, "sig long, node long, n long"), "signatures")
+    scratch.drop("shared2")
     often = found.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sig")
-    return scratch.keep(found.join(often, "sig"), "index")
+    kept = scratch.keep(found.join(often, "sig"), "index")
+    scratch.drop("signatures")
+    return kept
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int, scratch: Scratch) -> DataFrame:
@@ -193,13 +198,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int, s
         for _, sets in text_sets(batches, n):
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), lists(sets)], names=["fp", "tokens"])
 
+    # a node is one fingerprint, so rows of a repeated key are found where the join has put them
     made = through(rows, run, "fp binary, tokens array<long>").join(wanted.select("fp", "node", "n"), "fp")
-    return scratch.keep(made.select("node", "n", "tokens").dropDuplicates(["node"]), "sets")
+    return scratch.keep(made.dropDuplicates(["fp"]).select("node", "n", "tokens"), "sets")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
+def verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
     """The pairs (a, b) that link."""
-    small = nodes.select("node", "n", "prefix")
+    small = prefixes.select("node", "n", "prefix")
     p = pairs.join(small.toDF("a", "na", "pa"), "a").join(small.toDF("b", "nb", "pb"), "b")
     p = p.where((at.den * F.col("na") >= at.num * F.col("nb")) & (at.den * F.col("nb") >= at.num * F.col("na")))
     # one side's prefix lies within the other's reach: all but size - need of its tokens are then in the other prefix
@@ -294,14 +300,21 @@ def block_links(open_: DataFrame, sets: DataFrame, scratch: Scratch, at: Thresho
 
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """key, n_shingles, component_id of every row."""
-    at, scratch = Threshold(num, den), Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.keep(documents(docs, key, text, shingle, at), "rows")
-    nodes = rows.where("n > 0").groupBy("fp").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    at, scratch = Threshold(num, den), Scratch(docs.sparkSession, "jaccard", clear=True)
+    made = scratch.keep(documents(docs, key, text, shingle, at), "documents")
+    nodes = made.where("n > 0").groupBy("fp").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = scratch.keep(made.select("key", "n", "fp"), "rows")
+    scratch.drop("documents")
     sets = full_sets(docs, survivors(nodes, scratch, at), key, text, shingle, scratch)
     members = index(sets, scratch, at)
     wanted = scratch.keep(members.select("node").distinct(), "wanted")
     labels = scratch.keep(wanted.select("node", F.col("node").alias("label")), "labels")
+    # of the long columns only what verification reads stays on disk
+    few = wanted.count() <= MOST_SENT
+    sets, prefixes = (scratch.keep(t.join(F.broadcast(wanted) if few else wanted, "node", "left_semi"), name) for t, name in ((sets, "indexed"), (nodes.select("node", "n", "prefix"), "prefixes")))
+    nodes = scratch.keep(nodes.select("node", "rep", "fp"), "named")
+    scratch.drop("sets", "nodes", "survivors")
     links = None
     for k in range(ROUNDS + 1):
         open_ = members.join(labels, "node")
@@ -323,7 +336,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
             if large.limit(1).count():
                 dense = scratch.keep(block_links(open_.join(large, "sig"), sets, scratch, at), "dense")
                 links = dense if links is None else links.unionByName(dense)
-        found = scratch.keep(verified(scratch.keep(pairs.distinct(), f"pairs{k}"), nodes, sets, at), f"links{k}")
+        found = scratch.keep(verified(scratch.keep(pairs.distinct(), f"pairs{k}"), prefixes, sets, at), f"links{k}")
         scratch.drop(f"pairs{k}", f"open{k}" if k == ROUNDS else "none")
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)

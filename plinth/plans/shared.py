@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's switch that deletes a query's shuffle files when it ends; else they go when the driver happens to collect its garbage.
+CLEAR = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The temporary folder of a session on one machine that names none.
 _own: dict[str, str] = {}
 
@@ -43,15 +46,23 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 
 
 class Scratch:
-    """A folder of one run. A kept table cuts the lineage: it survives the loss of any executor. The folder goes when the driver's JVM ends, as results may read from it until then."""
+    """A folder of one run. A kept table cuts the lineage: it survives the loss of any executor. The folder goes when the driver's JVM ends, as results may read from it until then.
+
+    With ``clear`` the shuffle files of a table's query go as soon as it is kept.
+    """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, clear: bool = False):
+        self.spark, self.root, self.clear = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", clear
         files, at = _resolved(spark, self.root)
         files.deleteOnExit(at)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(CLEAR, "false")
+        try:
+            self.spark.conf.set(CLEAR, "true" if self.clear else before)
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(CLEAR, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

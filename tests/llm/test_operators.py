@@ -4,8 +4,10 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -18,6 +20,7 @@ from plinth.llm import batches, jaccard, licenses, lmscore, mixing, naming, piec
 from plinth.llm.gru import Network, Spelling
 from plinth.llm.scratch import Scratch, steady
 from plinth.llm.words import words_of
+from plinth.plans.shared import folders, shared_dir
 
 DOCS = "doc_id long, text string, key string, n long, node long, row long"
 ODD = [(1, None), (2, ""), (3, "a b c"), (4, "A B C"), (5, "one"), (6, "x " * 5000), (7, "x " * 5000), (7, "x " * 5000), (None, "a b c"), (None, None), (8, "é" * 9000), (9, "é" * 9000 + "e")]
@@ -189,6 +192,30 @@ def test_jaccard_join(spark, corpus, monkeypatch, n, num, den, small):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == links_by_hand(corpus, n, num, den)
 
 
+def test_jaccard_join_clears_its_disk(spark, sf_dir):
+    """Shuffle files go with the step that wrote them, long tables when no later step reads them; the caller's setting stays."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in files if f.endswith(".data") and os.path.exists(f)}
+
+    def tables():
+        return {f"{d}/{x}" for d in folders(spark, shared_dir(spark)) if d.startswith("jaccard-") for x in folders(spark, f"{shared_dir(spark)}/{d}")}
+
+    clear = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old, kept, setting = shuffled(), tables(), spark.conf.get(clear)
+    got = jaccard.join_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for _ in range(50):  # files are deleted in the background
+        left = sum(n for f, n in shuffled().items() if f not in old)
+        if left < 20_000:
+            break
+        time.sleep(0.1)
+    assert left < 20_000, left  # of counts alone
+    assert not {t.partition("/")[2] for t in tables() - kept} & {"documents", "nodes", "sets", "shared", "shared2", "signatures", "survivors"}
+    assert spark.conf.get(clear) == setting
+    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.standard_normal(8) * 3).round(1).tolist()) for i in range(300)]
